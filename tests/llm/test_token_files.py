@@ -46,3 +46,14 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     manifest = token_files.write_token_files(docs, shared.work_dir(spark, "t"))
     assert manifest.tokens == 0 and token_files.read_token_files(spark, manifest).count() == 0
+
+
+def test_pieces_equal_the_library_on_random_texts():
+    import random
+
+    r = random.Random(4)
+    alphabet = ["a", "B", "é", "Ü", "ß", "ñ", " ", " ", "\n", "'", "'s", "'LL", "9", "42", ".", ",##", "\t", "\xa0", "\x1f", "İ", "Σ", "ς", "x́", "漢", "<|endoftext|>", "<|startoftext|>", "-", "_", "²", "¡", "\xad", "µ", "×"]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 40))) for _ in range(3000)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        encoder = PieceEncoder(name)
+        assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts)] == whole(name, texts)

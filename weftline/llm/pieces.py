@@ -1,8 +1,10 @@
 """Token ids of whole texts by the tokenizers library, with a cache of pieces between blanks.
 
 A byte-pair tokenizer works on pre-tokens that never reach across certain blanks. A text cut at such
-blanks gives the same ids as the whole text, and most pieces come again and again, so the library is asked
-for each distinct piece once. Texts that the rule for cutting does not cover go to the library whole.
+blanks gives the same ids as the whole text, and most pieces come again and again, so each distinct piece is
+encoded once. A piece of plain Latin letters, digits and signs is split into pre-tokens here and goes to the
+library's model; any other piece goes through the whole tokenizer, and so does a text that the rule for cutting
+does not cover.
 """
 
 from __future__ import annotations
@@ -10,11 +12,19 @@ from __future__ import annotations
 import importlib
 import json
 import os
+import re
+from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
+import regex
 
-#: Distinct pieces that a worker remembers; the cache is emptied when full.
-CACHE = 400_000
+#: Pieces that a worker remembers at most: as many of late, and as many before them.
+CACHE = 500_000
+#: The pattern of byte-level pre-tokens, and characters on which all Unicode versions and rules agree
+#: (without those that open a special token's string).
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PLAIN = re.compile("[\n -;=-Z\\^-~\xa1-\xac\xae-\xff]*")
 
 
 def tokenizer_path(name: str) -> str:
@@ -24,16 +34,31 @@ def tokenizer_path(name: str) -> str:
     return importlib.import_module("public_tokenizers").path(name)
 
 
-def _cutting(spec: dict) -> str:
-    """Where texts may be cut: 'before' a lone blank, 'at' any blank or line end, or 'never'."""
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, the other bytes for the letters from 256 on."""
+    same = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in same]
+    return {b: chr(b) for b in same} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+def _cutting(spec: dict) -> tuple[str, str]:
+    """Where texts may be cut ('before' a lone blank, 'at' any blank or line end, or 'never') and the pre-tokens' pattern."""
     pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
     if norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
-        return "before"
-    if pre.get("type") == "Sequence" and pre["pretokenizers"][0].get("type") == "Split":
-        split = pre["pretokenizers"][0]
-        if split.get("invert") and split.get("behavior") == "Removed" and not any(ch in split["pattern"].get("Regex", " ") for ch in " \n"):
-            return "at"
-    return "never"
+        return "before", BYTE_LEVEL
+    if pre.get("type") == "Sequence" and [p.get("type") for p in pre["pretokenizers"]] == ["Split", "ByteLevel"]:
+        split, level = pre["pretokenizers"]
+        steps = [n.get("type") for n in (norm or {}).get("normalizers", [])]
+        pattern = split["pattern"].get("Regex", " ")
+        if split.get("invert") and split.get("behavior") == "Removed" and not any(ch in pattern for ch in " \n") and not level.get("use_regex") and not level.get("add_prefix_space") and steps == ["NFC", "Replace", "Lowercase"]:
+            return "at", pattern
+    return "never", ""
+
+
+@lru_cache(4)
+def encoder(name: str, end: int | None = None) -> PieceEncoder:
+    """This process's encoder: what it remembers serves every task of a worker."""
+    return PieceEncoder(name, end)
 
 
 class PieceEncoder:
@@ -48,12 +73,17 @@ class PieceEncoder:
 
         path = tokenizer_path(name)
         with open(path, encoding="utf-8") as f:
-            self._cut = _cutting(json.load(f))
+            self._cut, pattern = _cutting(json.load(f))
         self._tokenizer = Tokenizer.from_file(path)
+        self._model = self._tokenizer.model
+        self._split = regex.compile(pattern).findall
+        self._letters = byte_letters()
         self.width = 2 if self._tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self._end = b"" if end is None else np.array([end], self.dtype).tobytes()
-        self._known: dict[str, bytes] = {}
+        self._bytes = [k.to_bytes(self.width, "little") for k in range(self._tokenizer.get_vocab_size(with_added_tokens=True))]
+        self._late = _Remembered(self._encode, {})
+        self._tokens: dict[str, bytes] = {}
 
     def _pieces(self, text: str) -> list[str]:
         if self._cut == "at":
@@ -65,16 +95,38 @@ class PieceEncoder:
             return [text]
         return [head, *[" " + p for p in rest]]
 
+    def _token(self, token: str) -> bytes:
+        got = self._tokens.get(token)
+        if got is None:
+            if len(self._tokens) >= CACHE:
+                self._tokens.clear()
+            ids = self._model.tokenize(token.encode().decode("latin-1").translate(self._letters))
+            got = self._tokens[token] = b"".join([self._bytes[t.id] for t in ids])
+        return got
+
+    def _encode(self, piece: str) -> bytes:
+        if self._cut == "never" or len(piece) > 1000 or not PLAIN.fullmatch(piece):
+            return np.array(self._tokenizer.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
+        return b"".join(map(self._token, self._split(piece.lower() if self._cut == "at" else piece)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._pieces(t) for t in texts]
-        known = self._known
-        fresh = list({p for pieces in cut for p in pieces if p not in known})
-        if fresh:
-            if len(known) + len(fresh) > CACHE:
-                known.clear()
-                fresh = list({p for pieces in cut for p in pieces})
-            for at in range(0, len(fresh), 4096):
-                some = fresh[at : at + 4096]
-                for piece, got in zip(some, self._tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    known[piece] = np.array(got.ids, self.dtype).tobytes()
-        return [b"".join(map(known.__getitem__, pieces)) + self._end for pieces in cut]
+        if len(self._late) > CACHE:
+            self._late = _Remembered(self._encode, self._late)
+        get, end = self._late.__getitem__, self._end
+        return [b"".join(map(get, self._pieces(t))) + end for t in texts]
+
+
+class _Remembered(dict):
+    """Encoded pieces; one that is missing is taken from those before or encoded."""
+
+    def __init__(self, encode: Callable[[str], bytes], before: dict[str, bytes]):
+        super().__init__()
+        self._encode, self._before = encode, dict(before)
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self._before.get(piece)
+        if got is None:
+            got = self._encode(piece)
+        if len(piece) <= 64:  # long ones hardly come again
+            self[piece] = got
+        return got

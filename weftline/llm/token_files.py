@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
-from .pieces import PieceEncoder
+from .pieces import encoder as encoder_of
 
 TOKENIZER, END = "byte_bpe_50k.json", 2
 #: Texts that are encoded together.
@@ -45,7 +45,7 @@ class Manifest:
 
 def _writer(path: str, tokenizer: str, end: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = PieceEncoder(tokenizer, end), TaskContext.get().partitionId()
+        encoder, part = encoder_of(tokenizer, end), TaskContext.get().partitionId()
         ids, valid, sizes = [], [], []
 
         def chunks():
