@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_files
+from . import archive, decontaminate, fingerprints, packing, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_files": token_files.op2_token_files,
+        "op4_decontamination": decontaminate.op4_decontamination,
+        "op7_warc_index": archive.op7_warc_index,
+        "op8_best_fit_packing": packing.op8_best_fit_packing,
+        "op10_simhash_near_duplicates": fingerprints.op10_simhash_near_duplicates,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_decontamination": decontaminate.OP4_SQL,
+        "op7_warc_index": archive.OP7_SQL,
+    }
