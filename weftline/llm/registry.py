@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, decontaminate, fingerprints, packing, token_files
+from . import archive, decontaminate, fingerprints, lines, packing, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontamination": decontaminate.op4_decontamination,
         "op7_warc_index": archive.op7_warc_index,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
+        "op9_fuzzy_lines": lines.op9_fuzzy_lines,
         "op10_simhash_near_duplicates": fingerprints.op10_simhash_near_duplicates,
     }
 
