@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, decontaminate, fingerprints, lines, packing, token_files
+from . import archive, decontaminate, fingerprints, lines, order_minhash, packing, repeats, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_files": token_files.op2_token_files,
         "op4_decontamination": decontaminate.op4_decontamination,
+        "op5_suffix_dedup": repeats.op5_suffix_dedup,
+        "op6_order_minhash": order_minhash.op6_order_minhash,
         "op7_warc_index": archive.op7_warc_index,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_fuzzy_lines": lines.op9_fuzzy_lines,
