@@ -15,11 +15,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shared
 from .components import connected
+from .shared import bit_table, maybe_in
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Generator polynomial of the Golay code of length 23 and the length, a fixed value.
@@ -55,7 +56,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         made = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made)], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made)], names=["doc_id", "tie", "fp"])
 
 
 def _bit_syndromes() -> np.ndarray:
@@ -223,26 +224,50 @@ def links(classes: DataFrame) -> DataFrame:
     return met.mapInArrow(_compare, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id linked directly or through others).
-
-    Null and empty texts have fingerprint zero and are linked like any other. Equal fingerprints are one class, so copies
-    are never expanded into pairs. Rows that share a doc_id each get a row. A null doc_id never is a component_id unless
-    its whole group has none. Other columns are not read. An empty table gives an empty table.
-    """
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, tie (hash of the text), fp, root (fingerprint that names the group), component_id of every row of docs."""
     shared.columns_of(docs, ["doc_id", "text"])
     spark = docs.sparkSession
     shared.prepare(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    fps = shared.saved(spark, rows.mapInArrow(_fingerprints, "doc_id bigint, fp bigint"), "fps")
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("tie"))
+    fps = shared.saved(spark, rows.mapInArrow(_fingerprints, "doc_id bigint, tie bigint, fp bigint"), "fps")
     classes = shared.saved(spark, fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     edges = shared.saved(spark, links(classes), "links")
     roots = shared.saved(spark, connected(edges), "roots")
     linked = roots.join(classes, F.col("node") == F.col("fp")).select("node", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
-    of = classes.join(roots, F.col("fp") == F.col("node"), "left").join(least, "root", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    of = shared.saved(spark, of, "of")
-    return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = classes.join(roots, F.col("fp") == F.col("node"), "left").join(least, "root", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("component_id"))
+    return fps.join(shared.saved(spark, of, "of"), "fp")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id linked directly or through others).
+
+    Null and empty texts have fingerprint zero and are linked like any other. Equal fingerprints are one class, so copies
+    are never expanded into pairs. Rows that share a doc_id each get a row. A null doc_id never is a component_id unless
+    its whole group has none. Other columns are not read. An empty table gives an empty table.
+    """
+    return _grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group: that with the smallest doc_id (null last), then text hash; all columns stay.
+
+    Only rows that may leave are shuffled.
+    """
+    spark = docs.sparkSession
+    groups = shared.saved(spark, _grouped(docs).select("doc_id", "tie", "root"), "groups")
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
+    met = groups.join(first, "root").groupBy("doc_id", "tie").agg(F.max(own.eqNullSafe(F.col("first")).cast("int")).alias("stays"))
+    shaky = shared.saved(spark, met, "shaky")
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tie"))
+    split = maybe_in(row, bit_table(shaky, "tie"), "tie")
+    held = split.where("maybe").join(shaky, (split["tie"] == shaky["tie"]) & split["doc_id"].eqNullSafe(shaky["doc_id"]), "left").select("row", split["doc_id"], split["tie"], "stays")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "tie").orderBy(F.lit(0)))
+    held = held.where("stays is null or stays = 1").withColumn("nth", nth).where("nth = 1 or stays is null")
+    return held.select("row").unionByName(split.where("not maybe").select("row")).select("row.*")
 
 
 def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

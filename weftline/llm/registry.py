@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, decontaminate, fingerprints, lines, order_minhash, packing, repeats, token_files
+from . import archive, decontaminate, fingerprints, lines, order_minhash, packing, repeats, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_files": token_files.op2_token_files,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_decontamination": decontaminate.op4_decontamination,
         "op5_suffix_dedup": repeats.op5_suffix_dedup,
         "op6_order_minhash": order_minhash.op6_order_minhash,

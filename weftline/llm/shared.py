@@ -11,6 +11,7 @@ from typing import BinaryIO
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftline.session import ship
 
@@ -96,3 +97,21 @@ def columns_of(df: DataFrame, names: Iterable[str]) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"columns missing: {missing}; there are {df.columns}")
+
+
+#: Rows of the bit table that tells which rows need not be shuffled. It is broadcast, and never larger.
+WORDS = 1 << 16
+
+
+def bit_table(ids: DataFrame, column: str) -> DataFrame:
+    """word, bits: which values of ids may be there. At most WORDS rows."""
+    h = F.xxhash64(column)
+    return ids.select(F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(WORDS - 1)).alias("word"), F.expr(f"shiftleft(1L, cast(xxhash64({column}) & 63 as int)) as bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def maybe_in(df: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """df with a boolean column maybe: false only where the value is not among those of the table."""
+    word = F.shiftrightunsigned(F.xxhash64(column), 6).bitwiseAND(F.lit(WORDS - 1))
+    met = df.withColumn("_word", word).join(F.broadcast(table.withColumnRenamed("word", "_word")), "_word", "left")
+    bit = F.expr(f"shiftrightunsigned(bits, cast(xxhash64({column}) & 63 as int)) & 1")
+    return met.withColumn("maybe", F.coalesce(bit, F.lit(0)) == 1).drop("_word", "bits")
