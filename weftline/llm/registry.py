@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, decontaminate, fingerprints, lines, order_minhash, packing, repeats, token_files, toxicity
+from . import archive, decontaminate, fingerprints, html_pages, lines, order_minhash, packing, repeats, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_main_text": html_pages.op1_main_text,
         "op2_token_files": token_files.op2_token_files,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_decontamination": decontaminate.op4_decontamination,
