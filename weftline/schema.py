@@ -27,7 +27,8 @@ KEYWORDS = {"구분": 2.4, "전국": 1.5, "서울": 1.2, "매매": 1.0, "지수"
 
 def region_dim(spark: SparkSession) -> DataFrame:
     """region, region_group, ord of the known regions: a fixed table of 28 rows."""
-    rows = [(r, "핵심 권역", k) for k, r in enumerate(GROUPS)] + [(r, "강북 개별구", 3 + k) for k, r in enumerate(NORTH)] + [(r, "강남 개별구", 17 + k) for k, r in enumerate(SOUTH)]
+    heads = dict(zip(GROUPS, ("서울 전체", "강북권", "강남권"), strict=True))
+    rows = [(r, heads.get(r) or ("강북권" if r in NORTH else "강남권"), k) for k, r in enumerate((*GROUPS, *NORTH, *SOUTH))]
     return spark.createDataFrame(rows, "region string, region_group string, ord int")
 
 
