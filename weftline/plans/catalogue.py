@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators import backtest as bt
+from weftline.operators import estimators as es
 from weftline.operators import features as ft
 from weftline.operators import forecast as fc
 from weftline.operators import macro as mc
@@ -356,6 +357,37 @@ def last_420(spark, d):
     return show(views.tail(_series(spark, d, BROAD), 420))
 
 
+def _estimated(spark, d, models):
+    s = _series(spark, d, CLEAN)
+    last = bt.lengths(s).select("region", F.col("n").cast("int").alias("position"))
+    return es.forecasts(s, last, H, models)
+
+
+@query("estimators_dashboard")
+def estimators_dashboard(spark, d):
+    return _estimated(spark, d, es.DASHBOARD)
+
+
+@query("estimators_library")
+def estimators_library(spark, d):
+    return _estimated(spark, d, es.LIBRARY)
+
+
+@query("estimators_direct_boosting")
+def estimators_direct_boosting(spark, d):
+    s = _series(spark, d, CLEAN)
+    return es.direct_forecasts(s, bt.cutoffs_start(bt.lengths(s), H), H)
+
+
+@query("backtest_all_models")
+def backtest_all_models(spark, d):
+    """The dashboard's leaderboard with every model."""
+    s = _series(spark, d, CLEAN).persist()
+    cuts = bt.cutoffs_rolling(bt.lengths(s), H).persist()
+    made = bt.baseline_forecasts(s, cuts, H).unionByName(es.forecasts(s, cuts, H, es.DASHBOARD))
+    return bt.leaderboard_dashboard(bt.predictions(s, made).persist(), bt.mase_scale(s))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The indicator frame of all regions."""
     return indicator_frame(spark, sf_dir)
