@@ -23,6 +23,8 @@ from .pieces import encoder as encoder_of
 
 TOKENIZER, END, CAPACITY = "word_bpe_49k.json", 0, 2048
 GROUP = 256
+#: Pieces that a worker remembers.
+PIECES = 250_000
 #: A pattern: lengths in a sequence, and how many sequences have it.
 Pattern = tuple[tuple[int, ...], int]
 
@@ -152,7 +154,7 @@ def slots(patterns: list[Pattern]) -> dict[int, tuple[np.ndarray, np.ndarray, np
 
 def _cutter(tokenizer: str, end: int, capacity: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(tokenizer, end)
+        encoder = encoder_of(tokenizer, end, PIECES)
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out = []

@@ -56,9 +56,9 @@ def _cutting(spec: dict) -> tuple[str, str]:
 
 
 @lru_cache(4)
-def encoder(name: str, end: int | None = None) -> PieceEncoder:
+def encoder(name: str, end: int | None = None, cache: int = CACHE) -> PieceEncoder:
     """This process's encoder: what it remembers serves every task of a worker."""
-    return PieceEncoder(name, end)
+    return PieceEncoder(name, end, cache)
 
 
 class PieceEncoder:
@@ -67,7 +67,8 @@ class PieceEncoder:
     Strings of special tokens inside a text are encoded as the library does by default.
     """
 
-    def __init__(self, name: str, end: int | None = None):
+    def __init__(self, name: str, end: int | None = None, cache: int = CACHE):
+        self._cache = cache
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -98,7 +99,7 @@ class PieceEncoder:
     def _token(self, token: str) -> bytes:
         got = self._tokens.get(token)
         if got is None:
-            if len(self._tokens) >= CACHE:
+            if len(self._tokens) >= self._cache:
                 self._tokens.clear()
             ids = self._model.tokenize(token.encode().decode("latin-1").translate(self._letters))
             got = self._tokens[token] = b"".join([self._bytes[t.id] for t in ids])
@@ -110,7 +111,7 @@ class PieceEncoder:
         return b"".join(map(self._token, self._split(piece.lower() if self._cut == "at" else piece)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self._late) > CACHE:
+        if len(self._late) > self._cache:
             self._late = _Remembered(self._encode, self._late)
         get, end = self._late.__getitem__, self._end
         return [b"".join(map(get, self._pieces(t))) + end for t in texts]
