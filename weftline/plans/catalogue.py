@@ -11,10 +11,13 @@ from weftline.operators import backtest as bt
 from weftline.operators import estimators as es
 from weftline.operators import features as ft
 from weftline.operators import forecast as fc
+from weftline.operators import ingest as ig
 from weftline.operators import macro as mc
 from weftline.operators import panel as pn
 from weftline.operators import signals as sg
+from weftline.functions import stats
 from weftline.schema import rounded
+from weftline.sources.workbook import column_index
 
 from . import sql, views
 
@@ -122,6 +125,50 @@ def excel_serial(spark, d):
     return o.select("o_orderkey", F.expr("date_add(DATE'1899-12-30', cast(floor(o_totalprice / 10) as int))").alias("day"))
 
 
+@query("parse_dates", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS library, CASE WHEN o_orderkey % 4 < 3 THEN CAST(o_orderdate AS DATE) END AS dashboard FROM orders")
+def parse_dates(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderdate")
+    form = lambda f: F.date_format("o_orderdate", f)
+    k = F.col("o_orderkey") % 4
+    raw = F.when(k == 0, form("yyyy.MM.dd")).when(k == 1, form("yyyy-MM-dd")).when(k == 2, form("yyyy/MM/dd")).otherwise(form("yyyyMMdd"))
+    return o.select("o_orderkey", ig.library_date(raw, F.lit("text")).alias("library"), ig.dashboard_date(raw).alias("dashboard"))
+
+
+@query("parse_numbers", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(floor(o_totalprice) AS DOUBLE) END AS value FROM orders")
+def parse_numbers(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.floor("o_totalprice").alias("v"))
+    raw = F.when(F.col("o_orderkey") % 5 == 0, F.lit("n/a")).otherwise(F.format_number("v", 0))
+    return o.select("o_orderkey", ig.number(raw).alias("value"))
+
+
+@query("header_dedup", "SELECT CAST(n_nationkey AS BIGINT) AS col_idx, CASE WHEN k = 1 THEN base ELSE base || '_' || k END AS header FROM (SELECT n_nationkey, base, row_number() OVER (PARTITION BY base ORDER BY n_nationkey) AS k FROM (SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN 'column_' || n_nationkey ELSE r_name END AS base FROM nation JOIN region ON n_regionkey = r_regionkey))")
+def header_dedup(spark, d):
+    n, r = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("nation", "region"))
+    raw = F.when(F.col("n_regionkey") == 0, F.lit(" ")).otherwise(F.col("r_name"))
+    names = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.lit("s").alias("source_name"), F.lit("f").alias("fingerprint"), F.lit("t").alias("sheet_name"), F.col("n_nationkey").alias("col_idx"), raw.alias("raw"))
+    return ig.unique_headers(names).select(F.col("col_idx").cast("bigint").alias("col_idx"), "header")
+
+
+@query("col_to_index", "SELECT s_suppkey, CAST((s_suppkey % 26 + 1) * 26 + s_suppkey % 7 AS BIGINT) AS col_idx FROM supplier")
+def col_to_index(spark, d):
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    ref = F.concat(F.char(65 + F.col("s_suppkey") % 26), F.char(65 + F.col("s_suppkey") % 7), F.col("s_suppkey"))
+    return s.select("s_suppkey", column_index(ref).cast("bigint").alias("col_idx"))
+
+
+@query("binomial_tails", f"SELECT hits, n, {sql.rnd(sql.binomial_tail('hits', 'n'), 9)} AS p FROM (SELECT DISTINCT CAST(l_linenumber AS BIGINT) AS hits, CAST(l_quantity AS BIGINT) AS n FROM lineitem WHERE l_linenumber <= l_quantity)")
+def binomial_tails(spark, d):
+    x = spark.read.parquet(f"{d}/lineitem.parquet").where("l_linenumber <= l_quantity").select(F.col("l_linenumber").cast("bigint").alias("hits"), F.col("l_quantity").cast("bigint").alias("n")).distinct()
+    return x.select("hits", "n", rounded(stats.binomial_tail(F.col("hits"), F.col("n")), 9).alias("p"))
+
+
+@query("t_tails", f"SELECT p_size, n, {sql.rnd(sql.mean_tail('n', 'm', 's'), 9)} AS p FROM (SELECT CAST(p_size AS BIGINT) AS p_size, count(*) AS n, avg(p_retailprice - 1400) AS m, stddev_samp(p_retailprice - 1400) AS s FROM part GROUP BY 1)")
+def t_tails(spark, d):
+    x = F.col("p_retailprice") - 1400
+    got = spark.read.parquet(f"{d}/part.parquet").groupBy(F.col("p_size").cast("bigint").alias("p_size")).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("m"), F.stddev_samp(x).alias("s"))
+    return got.select("p_size", "n", rounded(stats.mean_tail(F.col("n"), F.col("m"), F.col("s")), 9).alias("p"))
+
+
 _LAGS = [f"lag_{k}" for k in range(1, 27)]
 
 
