@@ -383,7 +383,7 @@ def forecast_bundle(spark, d):
     return show(fc.library_forecast(s, H, board, ensemble, fc.full_forecasts(s, H)))
 
 
-@query("risk_composite")
+@query("risk_composite", f"WITH {_INTERVAL}, {sql.composite_steps(H)} SELECT * FROM rc")
 def risk_composite(spark, d):
     s, forecasts, frame = _dashboard(spark, d)
     return fc.risk_composite(s, frame, fc.votes(s, forecasts, H))

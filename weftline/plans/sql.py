@@ -97,14 +97,36 @@ k AS (SELECT region, date, CASE WHEN high IS NOT NULL THEN greatest(least(0.45 *
 
 
 def turning(grain: str) -> str:
+    return series(grain) + ",\n" + turning_steps()
+
+
+def turning_steps() -> str:
     around, future, soon = (f"({PART} ROWS BETWEEN {w})" for w in ("6 PRECEDING AND 6 FOLLOWING", "1 FOLLOWING AND 13 FOLLOWING", "1 FOLLOWING AND 4 FOLLOWING"))
-    return series(grain) + f""",
-t0 AS (SELECT *, avg(value) OVER ({PART} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS sm FROM s),
+    return f"""t0 AS (SELECT *, avg(value) OVER ({PART} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS sm FROM s),
 t1 AS (SELECT region, date, value, count(sm) OVER {around} >= 7 AND sm = max(sm) OVER {around} AS is_max, count(sm) OVER {around} >= 7 AND sm = min(sm) OVER {around} AS is_min, min(value) OVER {future} AS low, max(value) OVER {future} AS high, count(value) OVER {future} AS n_ahead, max(value) OVER {soon} AS soon_high, min(value) OVER {soon} AS soon_low FROM t0),
 tp AS (SELECT region, date, 'peak' AS event, value FROM t1 WHERE n_ahead >= 4 AND is_max AND low / value - 1 <= -0.02 AND soon_high < value
   UNION ALL SELECT region, date, 'trough', value FROM t1 WHERE n_ahead >= 4 AND is_min AND high / value - 1 >= 0.02 AND soon_low > value)"""
 
 
+def composite_steps(horizon: int) -> str:
+    """rc: risk composite, from s, sn, fb (forecasts of the models) and ff (the forecast)."""
+    clip = lambda x: f"greatest(least({x}, 100), 0)"
+    slope = "(p50 / last - 1) * 600"
+    return turning_steps() + f""",
+k0 AS (SELECT region, date, value / ({roll('avg', 'value', 24)}) * 100 AS d, value / ({roll('max', 'value', 52, 13)}) AS n, -(value / ({roll('max', 'value', 26, 4)}) - 1) AS w FROM s),
+kl AS (SELECT region, 'd' AS c, date, d AS x FROM k0 WHERE d IS NOT NULL UNION ALL SELECT region, 'n', date, n FROM k0 WHERE n IS NOT NULL UNION ALL SELECT region, 'w', date, w FROM k0 WHERE w IS NOT NULL),
+km AS (SELECT *, row_number() OVER (PARTITION BY region, c ORDER BY date DESC) AS j, first_value(x) OVER (PARTITION BY region, c ORDER BY date DESC) AS lx FROM kl),
+kq AS (SELECT region, c, avg(CAST(x <= lx AS DOUBLE)) * 100 AS p FROM km WHERE j <= 156 GROUP BY region, c),
+kr AS (SELECT region, max(p) FILTER (c = 'd') AS hot, max(p) FILTER (c = 'n') AS near, max(p) FILTER (c = 'w') AS deep FROM kq GROUP BY region),
+lv AS (SELECT region, value AS last, date AS enddate FROM sn WHERE rn = n),
+te AS (SELECT tp.region, bool_or(event = 'peak') AS pk, bool_or(event = 'trough') AS tr FROM tp JOIN lv ON lv.region = tp.region WHERE tp.date >= lv.enddate - 84 GROUP BY tp.region),
+vt AS (SELECT region, avg(CAST(forecast < origin AS DOUBLE)) * 100 AS nv, avg(CAST(forecast > origin AS DOUBLE)) * 100 AS pv FROM fb WHERE step = {horizon} GROUP BY region),
+rc AS (SELECT lv.region,
+  round_even({clip(f"0.25 * coalesce(hot, 50) + 0.2 * {clip(f'-({slope})')} + 0.2 * coalesce(near, 50) + 0.2 * nv + 0.15 * CASE WHEN coalesce(pk, false) THEN 100 ELSE 40 END")}, 1) AS high_risk_score,
+  round_even({clip(f"0.25 * coalesce(100 - hot, 50) + 0.2 * {clip(slope)} + 0.2 * coalesce(deep, 50) + 0.2 * pv + 0.15 * CASE WHEN coalesce(tr, false) THEN 100 ELSE 40 END")}, 1) AS low_zone_score
+  FROM lv JOIN ff ON ff.region = lv.region AND ff.step = {horizon} JOIN vt ON vt.region = lv.region LEFT JOIN kr ON kr.region = lv.region LEFT JOIN te ON te.region = lv.region)"""
+
+
 def signals(grain: str) -> str:
     lag = lambda c: f"lag({c}) OVER ({PART})"
     found = [
