@@ -285,8 +285,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     sides = spans.select("gram", "span", "one", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("one.left").alias("ctx")), F.struct(F.lit(1).alias("side"), F.col("one.right").alias("ctx")))).alias("d")).where("d.ctx <> 0").select("gram", "d.side", "d.ctx", "one")
     sizes = sides.groupBy("gram", "side", "ctx").count().where("count > 1").withColumn("crowd", F.col("count") > CROWD).drop("count")
     wanted = sides.join(sizes, ["gram", "side", "ctx"]).select("one.doc_id", "one.tie", F.struct("gram", "side", "ctx", "one.start", "one.windows", "one.lead", "crowd").alias("w"))
-    # bounded by the text: a list for each document
-    wanted = shared.saved(spark, wanted.groupBy("doc_id", "tie").agg(F.collect_list("w").alias("wanted")), "wanted")
+    # bounded by the text, as a set of places in each document however often its row is repeated
+    wanted = shared.saved(spark, wanted.groupBy("doc_id", "tie").agg(F.collect_set("w").alias("wanted")), "wanted")
     some, _ = _maybe(rows.where("text is not null"), wanted)
     left = some.select("doc_id", "tie", "text").alias("t")
     met = left.join(wanted.alias("w"), (F.col("t.tie") == F.col("w.tie")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))).select("t.doc_id", "t.tie", "t.text", "w.wanted")
@@ -301,7 +301,7 @@ def repeated(docs: DataFrame) -> DataFrame:
         rows_ = shared.saved(spark, crowd.mapInArrow(_explode_windows, "gram bigint, h bigint, doc_id bigint, tie bigint, at bigint"), "windows")
         twice = rows_.groupBy("gram", "h").count().where("count > 1").select("gram", "h")
         places = places.unionByName(rows_.join(twice, ["gram", "h"]).select("doc_id", "tie", F.col("at").alias("first"), (F.col("at") + DEPTH).alias("stop")))
-    return shared.saved(spark, places.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("first", "stop")).alias("places")), "places")
+    return shared.saved(spark, places.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("first", "stop")).alias("places")), "places")
 
 
 def keep(raw: bytes, places: list) -> tuple[bytes, int, int]:
