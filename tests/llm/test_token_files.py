@@ -57,3 +57,11 @@ def test_pieces_equal_the_library_on_random_texts():
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         encoder = PieceEncoder(name)
         assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts)] == whole(name, texts)
+
+
+def test_a_small_memory_changes_nothing():
+    texts = [f"word{k % 37}, other{k} and Ünter{k % 11}." for k in range(400)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        encoder = PieceEncoder(name, None, 20)
+        got = [np.frombuffer(x, encoder.dtype).tolist() for at in range(0, 400, 7) for x in encoder.encode(texts[at : at + 7])]
+        assert got == whole(name, texts)

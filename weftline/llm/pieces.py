@@ -9,6 +9,7 @@ does not cover.
 
 from __future__ import annotations
 
+import gc
 import importlib
 import json
 import os
@@ -19,13 +20,16 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-#: Pieces that a worker remembers at most: as many of late, and as many before them.
-CACHE = 500_000
+#: Pieces that a worker remembers at most: as many of late, and as many before them; and half as many pre-tokens.
+CACHE = 1_000_000
 #: The pattern of byte-level pre-tokens, and characters on which all Unicode versions and rules agree
 #: (without those that open a special token's string).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN = re.compile("[\n -;=-Z\\^-~\xa1-\xac\xae-\xff]*")
 
+#: A blank that another white space or the end follows, and the places before the other blanks.
+_UNEVEN, _LONE = re.compile(r" (?:\s|$)"), re.compile(r"(?= \S)")
+
 
 def tokenizer_path(name: str) -> str:
     """A tokenizer file's place: an existing path as it is, else by the installed collection of public tokenizers."""
@@ -58,6 +62,7 @@ def _cutting(spec: dict) -> tuple[str, str]:
 @lru_cache(4)
 def encoder(name: str, end: int | None = None, cache: int = CACHE) -> PieceEncoder:
     """This process's encoder: what it remembers serves every task of a worker."""
+    gc.set_threshold(100_000, 50, 50)  # hardly any of the many small objects is in a cycle
     return PieceEncoder(name, end, cache)
 
 
@@ -83,38 +88,51 @@ class PieceEncoder:
         self.dtype = np.dtype(f"<u{self.width}")
         self._end = b"" if end is None else np.array([end], self.dtype).tobytes()
         self._bytes = [k.to_bytes(self.width, "little") for k in range(self._tokenizer.get_vocab_size(with_added_tokens=True))]
-        self._late = _Remembered(self._encode, {})
+        # by piece; and by piece without the blank that it begins with
+        self._late, self._after = _Remembered(self._encode, {}), _Remembered(self._spaced, {})
         self._tokens: dict[str, bytes] = {}
 
-    def _pieces(self, text: str) -> list[str]:
-        if self._cut == "at":
-            return text.replace("\n", " ").split(" ")
-        if self._cut == "never" or "  " in text or text.endswith(" "):
-            return [text]
-        head, *rest = text.split(" ")
-        if any(p[0].isspace() for p in rest):
-            return [text]
-        return [head, *[" " + p for p in rest]]
-
     def _token(self, token: str) -> bytes:
         got = self._tokens.get(token)
         if got is None:
-            if len(self._tokens) >= self._cache:
+            if len(self._tokens) >= self._cache // 2:
                 self._tokens.clear()
             ids = self._model.tokenize(token.encode().decode("latin-1").translate(self._letters))
             got = self._tokens[token] = b"".join([self._bytes[t.id] for t in ids])
         return got
 
     def _encode(self, piece: str) -> bytes:
+        if self._cut == "at":
+            piece = piece.lower() if PLAIN.fullmatch(piece) else piece
+        # a word with stops after it is its own pre-token, and so are the stops
+        word = piece.rstrip(".,")
+        core = word[1:] if word[:1] == " " else word
+        if self._cut != "never" and core.isalpha() and core.isascii() and len(piece) <= 1000:
+            return self._token(word) + self._token(piece[len(word) :]) if len(word) < len(piece) else self._token(word)
         if self._cut == "never" or len(piece) > 1000 or not PLAIN.fullmatch(piece):
             return np.array(self._tokenizer.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
-        return b"".join(map(self._token, self._split(piece.lower() if self._cut == "at" else piece)))
+        return b"".join(map(self._token, self._split(piece)))
+
+    def _spaced(self, piece: str) -> bytes:
+        return self._encode(" " + piece)
+
+    def _pieces(self, text: str) -> bytes:
+        """Ids of a text that may be cut before a blank: of its head, and of what follows each blank."""
+        if _UNEVEN.search(text):
+            return b"".join(map(self._late.__getitem__, _LONE.split(text)))
+        head, *rest = text.split(" ")
+        return self._late[head] + b"".join(map(self._after.__getitem__, rest))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self._late) > self._cache:
-            self._late = _Remembered(self._encode, self._late)
-        get, end = self._late.__getitem__, self._end
-        return [b"".join(map(get, self._pieces(t))) + end for t in texts]
+        if len(self._late) + len(self._after) > self._cache:
+            self._late, self._after = self._late.followed(), self._after.followed()
+        end = self._end
+        if self._cut == "before":
+            return [self._pieces(t) + end for t in texts]
+        get = self._late.__getitem__
+        if self._cut == "at":
+            return [b"".join(map(get, t.replace("\n", " ").split(" "))) + end for t in texts]
+        return [self._encode(t) + end for t in texts]
 
 
 class _Remembered(dict):
@@ -122,10 +140,15 @@ class _Remembered(dict):
 
     def __init__(self, encode: Callable[[str], bytes], before: dict[str, bytes]):
         super().__init__()
-        self._encode, self._before = encode, dict(before)
+        self._encode, self._before = encode, before
+
+    def followed(self) -> _Remembered:
+        """An empty one before which this one was; what was before this one is forgotten."""
+        self._before = {}
+        return _Remembered(self._encode, self)
 
     def __missing__(self, piece: str) -> bytes:
-        got = self._before.get(piece)
+        got = dict.get(self._before, piece)
         if got is None:
             got = self._encode(piece)
         if len(piece) <= 64:  # long ones hardly come again
