@@ -24,7 +24,7 @@ from .pieces import encoder as encoder_of
 TOKENIZER, END, CAPACITY = "word_bpe_49k.json", 0, 2048
 GROUP = 256
 #: Pieces that a worker remembers.
-PIECES = 250_000
+PIECES = 500_000
 #: A pattern: lengths in a sequence, and how many sequences have it.
 Pattern = tuple[tuple[int, ...], int]
 
