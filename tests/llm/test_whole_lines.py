@@ -1,0 +1,49 @@
+"""Whole line dedup against edit similarity alone, without SimHashes."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from weftline.llm import lines
+
+
+def firsts(spark, texts):
+    """Of distinct normal lines, in order, those that no earlier line is linked with, directly or through others."""
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    most = F.floor(F.lit(0.2) * F.greatest(F.length("x.t"), F.length("y.t")) + 1e-9)
+    pairs = df.alias("x").join(df.alias("y"), F.col("x.k") < F.col("y.k")).where(F.levenshtein("x.t", "y.t") <= most).select("x.k", "y.k").collect()
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in sorted(tuple(p) for p in pairs):
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return [t for k, t in enumerate(texts) if root[k] == k], len(pairs)
+
+
+def kept(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    return [r.text for r in sorted(lines.dedup_lines(docs, whole=True).collect(), key=lambda r: r.doc_id) if r.text]
+
+
+def word(r):
+    return "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9)))
+
+
+def test_lines_with_words_replaced(spark):
+    r = random.Random(4)
+    base = [[word(r) for _ in range(n)] for n in (8, 10, 14, 20, 30, 50, 80, 150) for _ in range(5)]
+    copies = []
+    for w in base:
+        w = list(w)
+        for k in r.sample(range(len(w)), max(1, len(w) // 20)):
+            w[k] = word(r)
+        copies.append(w)
+    texts = [" ".join(w) for w in base + copies]
+    want, links = firsts(spark, texts)
+    assert links > 35
+    assert kept(spark, texts) == want
