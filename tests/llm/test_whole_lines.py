@@ -47,3 +47,18 @@ def test_lines_with_words_replaced(spark):
     want, links = firsts(spark, texts)
     assert links > 35
     assert kept(spark, texts) == want
+
+
+def test_short_lines_and_lines_without_blanks(spark):
+    r = random.Random(5)
+    texts = ["abcd", "abcde", "chapter 12", "chapter 13", "xhapter 1", "all rights reserved", "all right reserved.", "1 2 3 4 5 6 7", "1 2 3 4 5 6 8", "q w", "q x"]
+    for n in (5, 7, 9, 10, 12, 14, 15, 20, 40, 90):
+        for _ in range(4):
+            x = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(n))
+            k = r.randrange(n)
+            texts += [x, x[:k] + chr(0x8000) + x[k + 1 :]]
+    texts += ["".join(r.choice("abcdefgh ") for _ in range(10)).strip() + "z" for _ in range(30)]
+    texts = list(dict.fromkeys(" ".join(t.split()) for t in texts))
+    want, links = firsts(spark, texts)
+    assert links > 40
+    assert kept(spark, texts) == want
