@@ -90,3 +90,13 @@ def test_odd_tables(spark, model):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     assert all(r.predicted == 0 for r in tx.score(docs, tx.fit(docs, none)).collect())
     assert tx.score(docs.limit(0), model).count() == 0
+
+
+def test_every_insult_of_a_large_lexicon_is_seen():
+    r = random.Random(6)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(7)).encode()
+    bad, good = [word("bcdfghjklmnpqrstvwxz") for _ in range(90)], [word("aeiouyrstln") for _ in range(300)]
+    model = tx.fit_words([(w, 20, 0) for w in bad], [(w, 5) for w in good], 0.1, 400)
+    got = tx.Reader(model).features([w.decode() for w in bad])[:, 0]
+    assert len(model.insults) > tx.LANDMARKS
+    assert (got > model.bias).all() and (got > 0).mean() > 0.95

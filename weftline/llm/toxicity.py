@@ -30,7 +30,7 @@ from . import shared
 ORDER, DECAY, UNIT, STEP = 3, 0.6, 10, 3
 #: Labelled rows that the model is fitted on, at most: a documented bound, chosen by hash. All rows are scored.
 TRAIN_ROWS = 20_000
-#: Landmarks of either kind, and words of either kind that the machine is trained on.
+#: Clean landmarks (of insults there are as many as are unlike each other), and words of either kind that the machine is trained on.
 LANDMARKS, WORDS = 32, 1500
 #: predicted is 1 from this score on.
 THRESHOLD = 0.3
@@ -318,7 +318,7 @@ def fit_words(bad: list[tuple[bytes, int, int]], good: list[tuple[bytes, int]],
     # the strongest first; a word much like one that is there already adds nothing
     chosen: list[int] = []
     for k in range(len(heads)):
-        if len(chosen) < LANDMARKS and (not chosen or near[k, chosen].max() < 0.6):
+        if not chosen or near[k, chosen].max() < 0.6:
             chosen.append(k)
     insults = [heads[k] for k in chosen]
     count = dict.fromkeys(heads, 0)
