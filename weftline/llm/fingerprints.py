@@ -262,12 +262,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
     met = groups.join(first, "root").groupBy("doc_id", "tie").agg(F.max(own.eqNullSafe(F.col("first")).cast("int")).alias("stays"))
     shaky = shared.saved(spark, met, "shaky")
-    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tie"))
+    row = docs.select(shared.packed(docs, docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tie"))
     split = maybe_in(row, bit_table(shaky, "tie"), "tie")
     held = split.where("maybe").join(shaky, (split["tie"] == shaky["tie"]) & split["doc_id"].eqNullSafe(shaky["doc_id"]), "left").select("row", split["doc_id"], split["tie"], "stays")
     nth = F.row_number().over(Window.partitionBy("doc_id", "tie").orderBy(F.lit(0)))
     held = held.where("stays is null or stays = 1").withColumn("nth", nth).where("nth = 1 or stays is null")
-    return held.select("row").unionByName(split.where("not maybe").select("row")).select("row.*")
+    return held.select("row").unionByName(split.where("not maybe").select("row")).select(*shared.unpacked(docs.columns))
 
 
 def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from typing import BinaryIO
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.session import ship
@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir. Only where it is unset (tests on one machine) is one made."""
     found = spark.conf.get(_KEY, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {_KEY} to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="weftline-")
         spark.conf.set(_KEY, found)
     return found.rstrip("/")
@@ -99,6 +101,25 @@ def columns_of(df: DataFrame, names: Iterable[str]) -> None:
         raise ValueError(f"columns missing: {missing}; there are {df.columns}")
 
 
+def quoted(name: str) -> Column:
+    """The column of that very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def slot(k: int) -> str:
+    return f"c{k}"
+
+
+def packed(df: DataFrame, names: list[str]) -> Column:
+    """A struct of the named columns under plain names slot(0), slot(1) and so on, so that no name of theirs can clash."""
+    return F.struct(*[quoted(c).alias(slot(k)) for k, c in enumerate(names)])
+
+
+def unpacked(names: list[str], row: str = "row") -> list[Column]:
+    """The columns that packed() has put into row, under their own names."""
+    return [F.col(row).getField(slot(k)).alias(c) for k, c in enumerate(names)]
+
+
 #: Rows of the bit table that tells which rows need not be shuffled. It is broadcast, and never larger.
 WORDS = 1 << 16
 
