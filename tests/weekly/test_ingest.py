@@ -46,7 +46,9 @@ def test_cells(cells):
 def test_column_index(spark):
     rows = spark.createDataFrame([("A1",), ("Z9",), ("AA10",), ("ab2",), ("12",)], "r string").select(workbook.column_index(F.col("r"))).collect()
     assert [r[0] for r in rows] == [0, 25, 26, 27, 0]
-    assert workbook.part_path("/xl/a") == workbook.part_path("xl/a") == workbook.part_path("a") == "xl/a"
+    there = {"xl/a", "xl/worksheets/b.xml"}
+    assert {workbook.find_part(t, there) for t in ("/xl/a", "xl/a", "a", "../xl/a", "worksheets/../a")} == {"xl/a"}
+    assert workbook.find_part("b.xml", there) is None and workbook.find_part("worksheets/b.xml", there) == "xl/worksheets/b.xml"
 
 
 def test_dates(spark):
