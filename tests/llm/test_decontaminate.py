@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -44,15 +45,15 @@ def test_match_equals_brute_force(seed):
         assert (len(words), int(hit.sum()), found) == slow(doc, items, window)
 
 
-def test_report_with_nulls_shards_and_short_items(spark, monkeypatch):
+def test_report_with_nulls_passes_and_short_items(spark):
     long = " ".join(f"w{i}" for i in range(30))
     items = [(1, long), (2, None), (3, "Two Words"), (4, ""), (10, long + " more"), (None, "lonely")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     texts = [None, "", long, "x " + " ".join(f"w{i}" for i in range(5, 16)) + " y", "say two words, two", "w1 w2 w3", "lonely", " ".join(f"W{i}" for i in range(10))]
     docs = spark.createDataFrame([(i, t, "e") for i, t in enumerate(texts)], "doc_id bigint, text string, item_id string")
     for words in (1_000_000, 5):
-        monkeypatch.setattr(dc, "SHARD_WORDS", words)
-        for r in dc.report(docs, bench).collect():
+        assert len(list(dc.passes(bench, most=words)))  >= (1 if words > 5 else 2)
+        for r in dc.report(docs, bench, pass_words=words).collect():
             n, h, found = slow(texts[r.doc_id], [(str(i) if i is not None else "", t) for i, t in items])
             want = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
             assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (n, h, len(found), want, h > 0)
@@ -67,4 +68,22 @@ def test_spans_are_cut_and_covered_documents_dropped(spark):
     docs = spark.createDataFrame([(1, f"{pad}. {passage}! {pad}", 5), (2, passage + " z", 6), (3, pad, 7), (4, None, 8), (5, f"{passage}, {pad}", 9)], "doc_id bigint, text string, n_chars bigint")
     got = {r.doc_id: (r.text, r.n_chars) for r in dc.remove_contamination(docs, bench).collect()}
     cut = f"{pad}. ! {pad}"
-    assert got == {1: (cut, len(cut)), 3: (pad, 7), 4: (None, 8), 5: (f", {pad}", len(pad) + 2)}
+    want = {1: (cut, len(cut)), 3: (pad, 7), 4: (None, 8), 5: (f", {pad}", len(pad) + 2)}
+    assert got == want
+    # the same in several passes, with extra columns whose names clash or hold a dot
+    odd = docs.selectExpr("*", "'x' as `a.b`", "doc_id as digest", "'y' as spans")
+    out = dc.remove_contamination(odd, bench, pass_words=3)
+    assert out.columns == odd.columns
+    assert {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == want
+
+
+def test_time_grows_with_the_words_of_items_of_one_word():
+    took = []
+    for n in (4_000, 16_000):
+        words = [b"a"] * n
+        machine = dc.Automaton([("i", words)])
+        began = time.perf_counter()
+        hit = np.zeros(n, bool)
+        assert machine.match(words, hit) == {"i"} and hit.all()
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0]

@@ -16,14 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import shared
 
 WINDOW = 10
-#: Words of test items in one automaton. A larger benchmark is split over several automata, each of which sees every document.
-SHARD_WORDS = 1_000_000
-#: All automata together; the benchmark tables this is made for have far fewer words, and a larger one is refused.
-MOST_WORDS = 50_000_000
+#: Words of test items in one automaton, which a worker holds (some 100 MB at most). A larger benchmark takes several passes over the
+#: documents, one automaton after the other.
+PASS_WORDS = 250_000
 #: Share of a document's words that may be hit before the pipeline drops it as a whole.
 COVERAGE = 0.5
 
@@ -61,6 +61,11 @@ class Automaton:
             else:
                 for at in range(len(ids) - window + 1):
                     self._items.setdefault(self._walk(ids[at : at + window]), set()).add(item)
+        # the state on the way of suffix links, itself included, that holds the last window of a sequence
+        self._at_window = [-1] * len(self._link)
+        for s in sorted((s for s in range(1, len(self._link)) if self._length[s] >= window), key=self._length.__getitem__):
+            up = self._link[s]
+            self._at_window[s] = s if self._length[up] < window else self._at_window[up]
         # the nearest state on the way of suffix links, itself included, that holds a short item
         self._near_short = [-1] * len(self._link)
         for s in sorted(range(1, len(self._link)), key=self._length.__getitem__):
@@ -118,7 +123,7 @@ class Automaton:
 
     def _stream(self, ids: list[int], base: int, hit: np.ndarray, found: set) -> None:
         step, link, length, window = self._next, self._link, self._length, self.window
-        state = size = 0
+        state, size, seen = 0, 0, set()
         for at, w in enumerate(ids, base + 1):
             while state and w not in step[state]:
                 state = link[state]
@@ -126,12 +131,12 @@ class Automaton:
             if w in step[state]:
                 state = step[state][w]
                 size += 1
-            s = state
             if size >= window:
                 hit[at - window : at] = True
-                while length[link[s]] >= window:
-                    s = link[s]
-                found |= self._items[s]
+                s = self._at_window[state]
+                if s not in seen:
+                    seen.add(s)
+                    found |= self._items[s]
             s = self._near_short[state] if self._short else -1
             while s >= 0:
                 for short, items in self._short[s].items():
@@ -141,66 +146,135 @@ class Automaton:
                 s = self._near_short[link[s]]
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW) -> list[Automaton]:
-    """Automata of benchmark's item_id, text, each of at most SHARD_WORDS words (or one item).
+def passes(benchmark: DataFrame, window: int = WINDOW, most: int = PASS_WORDS) -> Iterator[Automaton]:
+    """Automata of benchmark's item_id, text, one after the other, each of at most about most words.
 
-    Items with a null or wordless text have no window. Rows that share an item_id are one item. The number of words is
-    counted on the executors first and checked against MOST_WORDS; the rows are then read one by one.
+    Items with a null or wordless text have no window. Rows that share an item_id are one item. The rows come to the driver one
+    by one. A longer item goes into several automata in parts that share window - 1 words, so that no window is lost.
     """
     shared.columns_of(benchmark, ["item_id", "text"])
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    if chars > 8 * MOST_WORDS:
-        raise ValueError(f"the benchmark has {chars} characters, too many for automata that every worker holds")
-    made, held, size = [], [], 0
+    held, size, any_ = [], 0, False
     for r in rows.toLocalIterator():
         words = words_of(r.text)
-        if held and size + len(words) > SHARD_WORDS:
-            made.append(Automaton(held, window))
-            held, size = [], 0
-        held.append((r.item_id, words))
-        size += len(words)
-    return [*made, Automaton(held, window)] if held else made
+        for at in range(0, max(1, len(words) - window + 1), most):
+            part = words[at : at + most + window - 1]
+            if held and size + len(part) > most + window:
+                yield Automaton(held, window)
+                held, size, any_ = [], 0, True
+            if part:
+                held.append((r.item_id, part))
+                size += len(part)
+    if held or not any_:
+        yield Automaton(held, window)
+
+
+def _spans(hit: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches of hit words."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+
+
+_FOUND = "digest string, spans array<struct<a: int, b: int>>, items array<string>"
+
+
+def _found(texts: DataFrame, benchmark: DataFrame, window: int, most: int) -> DataFrame:
+    """digest (SHA-256 of the text), spans (stretches of hit words), items of each text of texts (digest, text) that has any; a scan of texts for each automaton."""
+    spark, out = texts.sparkSession, []
+    kinds = [pa.string(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.list_(pa.string())]
+    for machine in passes(benchmark, window, most):
+        held = spark.sparkContext.broadcast(machine)
+
+        def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = []
+                for digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    words = words_of(text)
+                    hit = np.zeros(len(words), bool)
+                    items = held.value.match(words, hit)
+                    if items:
+                        rows.append((digest, [{"a": a, "b": b} for a, b in _spans(hit)], sorted(x or "" for x in items)))
+                columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["digest", "spans", "items"])
+
+        out.append(shared.saved(spark, texts.mapInArrow(scan, _FOUND), "found"))
+        held.unpersist()
+    met = out[0]
+    for more in out[1:]:
+        met = met.unionByName(more)
+    # a text's own stretches and items, once for each automaton
+    return met.dropDuplicates(["digest", "spans", "items"]).groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, most: int, schema: str | StructType, finish) -> DataFrame:
+    """finish(batch, texts' (words, hit, items)) of the batches of docs, which has a column text.
+
+    A benchmark of one automaton is matched where the batch is; with more, what they found in a text is joined to it by digest.
+    """
+    spark = docs.sparkSession
+    shared.prepare(spark)
+    machines = passes(benchmark, window, most)
+    first, more = next(machines), next(machines, None)
+    at = docs.columns.index("text")
+    if more is None:
+        held = spark.sparkContext.broadcast(first)
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield finish(batch, [_hits(held.value, t) for t in batch.column(at).to_pylist()])
+
+        return docs.mapInArrow(scan, schema)
+    machines.close()
+    names = docs.columns
+    row = docs.select(shared.packed(docs, names).alias("row"), F.sha2(shared.quoted("text").cast("string").cast("binary"), 256).alias("digest"))
+    known = _found(row.select("digest", F.col("row").getField(shared.slot(at)).cast("string").alias("text")).where("text is not null"), benchmark, window, most)
+    met = row.join(shared.saved(spark, known, "known"), "digest", "left").select("row.*", "spans", "items")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = []
+            for text, spans, items in zip(*(batch.column(k).to_pylist() for k in (at, len(names), len(names) + 1)), strict=True):
+                words = words_of(text)
+                hit = np.zeros(len(words), bool)
+                for x in spans or []:
+                    hit[x["a"] : x["b"]] = True
+                hits.append((words, hit, set(items or [])))
+            yield finish(pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names), hits)
+
+    return met.mapInArrow(merge, schema)
 
 
-def _hits(machines: list[Automaton], text: str | None) -> tuple[list[bytes], np.ndarray, set]:
+def _hits(machine: Automaton, text: str | None) -> tuple[list[bytes], np.ndarray, set]:
     words = words_of(text)
-    hit, found = np.zeros(len(words), bool), set()
-    for m in machines:
-        found |= m.match(words, hit)
-    return words, hit, found
+    hit = np.zeros(len(words), bool)
+    return words, hit, {x or "" for x in machine.match(words, hit)}
 
 
-def report(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, pass_words: int = PASS_WORDS) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     n_items counts the items with a window in the text; items_sha256 is the digest of their ids, sorted as strings and
     joined by commas (of nothing where there are none; a null item_id counts as an empty string). Null and empty texts
-    have no words. Other columns are not read; repeated rows each get a row; an empty benchmark hits nothing.
+    have no words. Other columns are not read, whatever their names; repeated rows each get a row; an empty table gives an
+    empty table and an empty benchmark hits nothing. Time grows with a text's words, repeated ones included.
     """
     shared.columns_of(docs, ["doc_id", "text"])
-    spark = docs.sparkSession
-    shared.prepare(spark)
-    held = spark.sparkContext.broadcast(automata(benchmark, window))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                words, hit, found = _hits(held.value, text)
-                names = sorted(x or "" for x in found)
-                out.append((len(words), int(hit.sum()), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(names)))
-            n_words, n_hit, n_items, digest, contaminated = zip(*out, strict=True) if out else ([],) * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string()), pa.array(contaminated, pa.bool_())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+    def finish(batch: pa.RecordBatch, hits: list) -> pa.RecordBatch:
+        out = []
+        for words, hit, found in hits:
+            names = sorted(found)
+            out.append((len(words), int(hit.sum()), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(names)))
+        n_words, n_hit, n_items, digest, contaminated = zip(*out, strict=True) if out else ([],) * 5
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string()), pa.array(contaminated, pa.bool_())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(scan, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
+    return _scanned(rows, benchmark, window, pass_words, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean", finish)
 
 
-def cut_spans(text: str, machines: list[Automaton], coverage: float = COVERAGE) -> str | None:
+def cut_spans(text: str, words: list[bytes], hit: np.ndarray, coverage: float = COVERAGE) -> str | None:
     """The text without its hit spans, each from its first word to its last; None where more than coverage of the words are hit."""
-    words, hit, found = _hits(machines, text)
-    if not found:
+    if not hit.any():
         return text
     if hit.sum() > coverage * len(words):
         return None
@@ -217,33 +291,32 @@ def cut_spans(text: str, machines: list[Automaton], coverage: float = COVERAGE)
     return b"".join(kept).decode("utf-8", "surrogatepass")
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, coverage: float = COVERAGE, pass_words: int = PASS_WORDS) -> DataFrame:
     """docs with every hit span cut out of text (n_chars, where there, follows), without documents of which more than coverage of the words are hit.
 
-    A document without a hit is kept as it is, null texts included. All columns stay.
+    A document without a hit is kept as it is, null and empty texts included. All columns stay, whatever their names. Repeated
+    rows are cut alike and all stay. An empty table gives an empty table; an empty benchmark cuts nothing.
     """
     shared.columns_of(docs, ["text"])
-    spark, schema, at = docs.sparkSession, docs.schema, docs.columns.index("text")
+    schema, at = docs.schema, docs.columns.index("text")
     count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    shared.prepare(spark)
-    held = spark.sparkContext.broadcast(automata(benchmark, window))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            made = [None if t is None else cut_spans(t, held.value, coverage) for t in texts]
-            keep = pa.array([t is None or m is not None for t, m in zip(texts, made, strict=True)])
-            columns = list(batch.columns)
-            columns[at] = pa.array(made, columns[at].type)
-            if count is not None:
-                old = columns[count].to_pylist()
-                columns[count] = pa.array([o if m == t else len(m) if m is not None else None for o, t, m in zip(old, texts, made, strict=True)], columns[count].type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(keep)
+    def finish(batch: pa.RecordBatch, hits: list) -> pa.RecordBatch:
+        texts = batch.column(at).to_pylist()
+        made = [None if t is None else cut_spans(t, words, hit, coverage) for t, (words, hit, _) in zip(texts, hits, strict=True)]
+        keep = pa.array([t is None or m is not None for t, m in zip(texts, made, strict=True)], pa.bool_())
+        columns = list(batch.columns)
+        columns[at] = pa.array(made, columns[at].type)
+        if count is not None:
+            old = columns[count].to_pylist()
+            columns[count] = pa.array([o if m == t else len(m) if m is not None else None for o, t, m in zip(old, texts, made, strict=True)], columns[count].type)
+        return pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(keep)
 
-    return docs.mapInArrow(scan, schema)
+    return _scanned(docs, benchmark, window, pass_words, schema, finish)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """report() of all documents against the whole benchmark."""
     return report(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
