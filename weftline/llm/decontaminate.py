@@ -206,8 +206,8 @@ def _found(texts: DataFrame, benchmark: DataFrame, window: int, most: int) -> Da
     return met.dropDuplicates(["digest", "spans", "items"]).groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
 
-def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, most: int, schema: str | StructType, finish) -> DataFrame:
-    """finish(batch, texts' (words, hit, items)) of the batches of docs, which has a column text.
+def _scanned(docs: DataFrame, at: int, benchmark: DataFrame, window: int, most: int, schema: str | StructType, finish) -> DataFrame:
+    """finish(batch, texts' (words, hit, items)) of the batches of docs, whose column number at is the text.
 
     A benchmark of one automaton is matched where the batch is; with more, what they found in a text is joined to it by digest.
     """
@@ -215,7 +215,6 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, most: int, sche
     shared.prepare(spark)
     machines = passes(benchmark, window, most)
     first, more = next(machines), next(machines, None)
-    at = docs.columns.index("text")
     if more is None:
         held = spark.sparkContext.broadcast(first)
 
@@ -226,9 +225,9 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, most: int, sche
         return docs.mapInArrow(scan, schema)
     machines.close()
     names = docs.columns
-    row = docs.select(shared.packed(docs, names).alias("row"), F.sha2(shared.quoted("text").cast("string").cast("binary"), 256).alias("digest"))
+    row = docs.select(shared.packed(docs, names).alias("row"), F.sha2(F.col(names[at]).cast("string").cast("binary"), 256).alias("digest"))
     known = _found(row.select("digest", F.col("row").getField(shared.slot(at)).cast("string").alias("text")).where("text is not null"), benchmark, window, most)
-    met = row.join(shared.saved(spark, known, "known"), "digest", "left").select("row.*", "spans", "items")
+    met = row.join(shared.saved(spark, known, "known"), "digest", "left").select(*shared.unpacked(names), "spans", "items")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,7 +268,7 @@ def report(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, pass_
         n_words, n_hit, n_items, digest, contaminated = zip(*out, strict=True) if out else ([],) * 5
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string()), pa.array(contaminated, pa.bool_())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return _scanned(rows, benchmark, window, pass_words, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean", finish)
+    return _scanned(rows, 1, benchmark, window, pass_words, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean", finish)
 
 
 def cut_spans(text: str, words: list[bytes], hit: np.ndarray, coverage: float = COVERAGE) -> str | None:
@@ -298,7 +297,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int =
     rows are cut alike and all stay. An empty table gives an empty table; an empty benchmark cuts nothing.
     """
     shared.columns_of(docs, ["text"])
-    schema, at = docs.schema, docs.columns.index("text")
+    plain, at = shared.plain_names(docs), docs.columns.index("text")
     count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def finish(batch: pa.RecordBatch, hits: list) -> pa.RecordBatch:
@@ -312,7 +311,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int =
             columns[count] = pa.array([o if m == t else len(m) if m is not None else None for o, t, m in zip(old, texts, made, strict=True)], columns[count].type)
         return pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(keep)
 
-    return _scanned(docs, benchmark, window, pass_words, schema, finish)
+    return _scanned(plain, at, benchmark, window, pass_words, plain.schema, finish).toDF(*docs.columns)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

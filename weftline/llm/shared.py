@@ -120,6 +120,11 @@ def unpacked(names: list[str], row: str = "row") -> list[Column]:
     return [F.col(row).getField(slot(k)).alias(c) for k, c in enumerate(names)]
 
 
+def plain_names(df: DataFrame) -> DataFrame:
+    """df with its columns named slot(0), slot(1) and so on: functions over Arrow batches take no dots in names."""
+    return df.toDF(*[slot(k) for k in range(len(df.columns))])
+
+
 #: Rows of the bit table that tells which rows need not be shuffled. It is broadcast, and never larger.
 WORDS = 1 << 16
 

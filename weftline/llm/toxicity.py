@@ -393,17 +393,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without the rows whose text scores THRESHOLD or more; all columns stay, null texts are scored as empty ones."""
+    """docs without the rows whose text scores THRESHOLD or more; all columns stay, whatever their names.
+
+    Null texts are scored as empty ones; whole texts are read, however long; repeated rows are scored alike and stay or go
+    together. An empty table gives an empty table.
+    """
     shared.columns_of(docs, ["text"])
     shared.prepare(docs.sparkSession)
-    at = docs.columns.index("text")
+    plain, at = shared.plain_names(docs), docs.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
         for batch in batches:
             yield batch.filter(pa.array(model.score(reader.features(batch.column(at).to_pylist())) < THRESHOLD))
 
-    return docs.mapInArrow(work, docs.schema)
+    return plain.mapInArrow(work, plain.schema).toDF(*docs.columns)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
