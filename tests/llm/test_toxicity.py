@@ -28,6 +28,12 @@ def test_kernel_by_definition():
     assert np.allclose(got, want)
 
 
+def test_triples_give_the_kernel():
+    r = random.Random(4)
+    words = [tx.units("".join(r.choice("abcd") for _ in range(r.randint(1, 9))).encode())[0] for _ in range(40)]
+    assert np.allclose(tx.triple_sums(words, tx.triple_table(words[:9])), tx.similarities(words, words[:9]))
+
+
 def test_plain_text():
     assert tx.plain("You are an 1d10t, i d i o t i-d.i,o.t!") == b"you are an idiot idiot idiot"
     assert tx.plain(None) == b"" and tx.plain("a b") == b"a b"
@@ -71,15 +77,36 @@ def test_held_out_accuracy_and_changed_insults(spark, model):
     assert all(r.predicted == 1 for r in odd), odd
 
 
+def slow_value(model, unit):
+    """The machine on one unit by all subsequences."""
+    codes = lambda u: tx._codes([u])[0].tolist()
+    own = slow_kernel(codes(unit), codes(unit))
+    if not own:
+        return 0.0
+    return sum(w * slow_kernel(codes(unit), codes(m)) / np.sqrt(own * slow_kernel(codes(m), codes(m))) for m, w in zip(model.marks, model.weights, strict=True))
+
+
 def test_features_equal_a_plain_loop(model):
+    """Every word meets the kernel: no filter stands before it."""
+    few = tx.Model(model.marks[:6], model.weights[:6], model.curve)
+    reader = tx.Reader(few)
+    texts = [". ".join([t[: len(t) // 2], t[len(t) // 2 :]]) for _, t in made(12, 5)[0]] + [None, "", " ", "blorpface", "x", "a\n\nsnackleblorpfacesnackle! one two"]
+    for t, row, chosen in zip(texts, reader.features(texts), reader.sentences(texts), strict=True):
+        sentences = [s for s in tx.plain(t).split(b"\n") if s.split()]
+        words = [[[slow_value(few, u) for u in tx.units(w)] for w in s.split()] for s in sentences]
+        best = sorted((max(us) for s in words for us in s), reverse=True)[:2]
+        sums = [sum(sum(us) for us in s) / np.sqrt(sum(len(us) for us in s)) for s in words]
+        worst = sorted(sums, reverse=True)[:2]
+        want = [*best, *[0.0] * (2 - len(best)), *worst, *[0.0] * (2 - len(worst)), np.log1p(sum(len(s) for s in words))]
+        assert np.allclose(row, want)
+        assert [sums[sentences.index(s)] for s in chosen] == pytest.approx(worst)
+
+
+def test_sentences_are_rows_of_the_same_machine(model):
     reader = tx.Reader(model)
-    texts = [t for _, t in made(60, 5)[0]] + [None, "", " ", "blorpface", "x"]
-    got = reader.features(texts)
-    for t, row in zip(texts, got, strict=True):
-        words = tx.plain(t).split()
-        data = [model.margins([w])[0] for w in words if tx.Reader(model)._passing(np.frombuffer(b" " + w, np.uint8), np.array([1]))[0]]
-        best = sorted([max(x, model.bias) for x in data] + [model.bias] * 2, reverse=True)[:2]
-        assert np.allclose(row[:2], best)
+    texts = [t for _, t in made(40, 8)[0]]
+    rows = tx.sentence_rows([tx.plain(t) for t in texts], model.marks) @ model.weights
+    assert np.allclose(rows, reader.features(texts)[:, 2])
 
 
 def test_odd_tables(spark, model):
@@ -92,11 +119,20 @@ def test_odd_tables(spark, model):
     assert tx.score(docs.limit(0), model).count() == 0
 
 
-def test_every_insult_of_a_large_lexicon_is_seen():
+def test_every_insult_of_a_large_lexicon_is_a_landmark():
     r = random.Random(6)
     word = lambda letters: "".join(r.choice(letters) for _ in range(7)).encode()
     bad, good = [word("bcdfghjklmnpqrstvwxz") for _ in range(90)], [word("aeiouyrstln") for _ in range(300)]
-    model = tx.fit_words([(w, 20, 0) for w in bad], [(w, 5) for w in good], 0.1, 400)
-    got = tx.Reader(model).features([w.decode() for w in bad])[:, 0]
-    assert len(model.insults) > tx.LANDMARKS
-    assert (got > model.bias).all() and (got > 0).mean() > 0.95
+    insults, clean = tx.landmarks([(w, 20, 0) for w in bad], [(w, 5) for w in good], 0.1, 400)
+    assert len(insults) > 80 > tx.LANDMARKS == len(clean)
+
+
+def test_training_rows_are_the_same_every_time_and_copies_count_once(spark):
+    docs, labels = made(300, 4)
+    docs += [(1000 + k, docs[k % 3][1] + " tail" * (k % 2)) for k in range(60)]
+    labels += [(1000 + k, dict(labels).get(k % 3, 0)) for k in range(60)]
+    table, known = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    got = [sorted(r.text for r in tx.training_rows(table.repartition(n), known).collect()) for n in (2, 5)]
+    assert got[0] == got[1] and len(got[0]) < 290
+    # texts that share but one key are unlike, and all stay
+    assert len(got[0]) > 200
