@@ -41,10 +41,14 @@ def saved(spark: SparkSession, df: DataFrame, tag: str, path: str | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def prepare(spark: SparkSession, rows: int = 500) -> None:
-    """Send the code to the executors and bound the rows of an Arrow batch that goes to a Python worker: whole documents can be long, so few."""
+#: Rows of an Arrow batch that goes to a Python worker: whole documents can be long, so few. It is the same for every plan, as plans are lazy.
+BATCH = 500
+
+
+def prepare(spark: SparkSession) -> None:
+    """Send the code to the executors and bound the rows of Arrow batches."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
 
 
 def partitions(spark: SparkSession) -> int:
