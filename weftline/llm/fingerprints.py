@@ -271,4 +271,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() of all documents."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

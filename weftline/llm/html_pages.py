@@ -388,4 +388,5 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: page_id, url, text (empty if none), n_chars, by a model fitted to the generated labelled pages."""
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))

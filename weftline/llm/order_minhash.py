@@ -188,4 +188,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fingerprints() of all documents."""
     return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))

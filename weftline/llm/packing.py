@@ -210,9 +210,11 @@ def pack(docs: DataFrame, *, tokenizer: str = TOKENIZER, end: int = END, capacit
 
     shared.prepare(spark)
     within = F.row_number().over(Window.partitionBy("file", "length").orderBy("doc_id", "piece", "start", "ids_crc32"))
-    ranked = pieces.withColumn("k", within).join(bases, ["file", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("k") - 1 + F.col("base")).alias("rank"))
+    # as many bases as files and lengths: they are dealt as the pieces are, never broadcast
+    ranked = pieces.withColumn("k", within).join(bases.hint("merge"), ["file", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("k") - 1 + F.col("base")).alias("rank"))
     return ranked.mapInArrow(put, _PIECE + ", sequence_id bigint, offset bigint").withColumn("piece", F.col("piece").cast("int"))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack() of all documents at 2048 tokens."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))

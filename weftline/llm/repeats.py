@@ -367,4 +367,5 @@ def kept_bytes(docs: DataFrame) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """report() of all documents."""
     return report(spark.read.parquet(f"{sf_dir}/documents.parquet"))

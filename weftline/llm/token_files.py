@@ -134,5 +134,6 @@ def read_token_files(spark: SparkSession, manifest: Manifest) -> DataFrame:
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document, read back from the files: doc_id, start, n_tokens, ids_crc32."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return read_token_files(spark, write_token_files(docs, shared.work_dir(spark, "tokens")))
