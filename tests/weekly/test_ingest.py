@@ -52,11 +52,12 @@ def test_column_index(spark):
 
 
 def test_dates(spark):
-    rows = [("45000", "number"), ("500", "number"), ("-3", "number"), ("2024.1.8", "text"), (" 2024 - 01 - 08", "text"), ("2024/01/08", "text"), ("20240108", "text"), ("45000", "text"), ("soon", "text")]
+    rows = [("45000", "number"), ("500", "number"), ("-3", "number"), ("2024.1.8", "text"), (" 2024 - 01 - 08", "text"), ("2024/01/08", "text"), ("20240108", "text"), ("45000", "text"), ("soon", "text"), ("2024-01", "text"), ("Jan 8, 2024", "text"), ("2024-01-08 10:30", "text"), ("2024-01-08T00:00:00", "date")]
     got = spark.createDataFrame(rows, "raw string, kind string").select(ingest.library_date(F.col("raw"), F.col("kind")), ingest.dashboard_date(F.col("raw"))).collect()
     d, s = dt.date(2024, 1, 8), dt.date(2023, 3, 15)
-    assert [r[0] for r in got] == [s, dt.date(1901, 5, 14), None, d, d, d, d, None, None]
-    assert [r[1] for r in got] == [s, None, None, d, d, d, None, s, None]
+    more = [dt.date(2024, 1, 1), d, d, d]
+    assert [r[0] for r in got] == [s, dt.date(1901, 5, 14), None, d, d, d, d, None, None, *more]
+    assert [r[1] for r in got] == [s, None, None, d, d, d, None, s, None, *more]
 
 
 def test_detection(cells):
@@ -97,6 +98,32 @@ def test_dashboard_path(cells):
     assert ingest.series_of(ingest.dashboard_panel(rows), "매매지수").count() == 260
 
 
+def test_workbooks_do_not_meet(spark, tmp_path):
+    for k, name in enumerate("ab"):
+        rows = index_rows(110)
+        for row in rows[2:]:
+            row[1] = row[1] + k
+        rows[50][0] = "no date"
+        (tmp_path / f"{name}.xlsx").write_bytes(book([("매매지수", rows)]))
+    (tmp_path / "c.xlsx").write_bytes(book([("매매지수", [HEAD])]))
+    (tmp_path / "d.xlsx").write_bytes(book([("매매지수", [])]))
+    cells = workbook.cells(spark, str(tmp_path)).cache()
+    rows = ingest.library_rows(cells).cache()
+    books = spark.createDataFrame([(f"{n}.xlsx", f) for n, f in {r.source_name[0]: r.fingerprint for r in cells.collect()}.items()] + [("d.xlsx", "-")], "source_name string, fingerprint string")
+    report = {r.source_name: r for r in ingest.quality_report(rows, layout=ingest.layouts(cells), books=books).collect()}
+    assert set(report) == {"a.xlsx", "b.xlsx", "c.xlsx", "d.xlsx"}
+    for name in ("a.xlsx", "b.xlsx"):
+        r = report[name]
+        # a week that no region has is a week of the grid all the same
+        assert r.blocking_errors == [] and r.stats.unique_weeks == 110 and r.stats.duplicate_conflicts == 0 and r.stats.regions == 5
+        assert r.detected_layout.date_column == "구분" and r.detected_layout.columns == HEAD and r.detected_layout.sheet_scores[0].sheet_name == "매매지수"
+    assert report["c.xlsx"].blocking_errors == [ingest.NO_ROWS, ingest.NO_SERIES] and report["d.xlsx"].blocking_errors[0] == ingest.EMPTY
+    panel = ingest.library_panel(rows).collect()
+    assert len(panel) == 2 * 5 * 110 and {r.source_file for r in panel} == {"a.xlsx", "b.xlsx"}
+    assert ingest.dashboard_panel(ingest.dashboard_rows(cells)).groupBy("source_name", "metric").count().count() == 2
+    assert "sheet_scores" in ingest.report_json(ingest.quality_report(rows, layout=ingest.layouts(cells))).first().json
+
+
 def test_conflicting_weeks(spark):
     base = [("s", "f", "t", "a", week(k), k, "1", 1.0) for k in range(110)]
     rows = spark.createDataFrame([*base, ("s", "f", "t", "a", week(3), 200, "2", 2.0), *[("s", "f", "t", "b", week(k), k, "1", 1.0) for k in range(50)]], "source_name string, fingerprint string, sheet_name string, region string, date date, row_idx int, raw string, value double")

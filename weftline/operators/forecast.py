@@ -13,11 +13,12 @@ from .panel import by_week
 
 
 def full_forecasts(series: DataFrame, horizon: int, more: DataFrame | None = None) -> DataFrame:
-    """region, date, step, model, forecast of the weeks after the series; more: forecasts of other models (region, step, model, forecast)."""
+    """region, date, step, model, forecast of the weeks after the series; more: forecasts of other models (region, step, model, forecast), which take the place of a baseline of their name."""
     n = lengths(series)
     made = baseline_forecasts(series, n.select("region", F.col("n").cast("int").alias("position")), horizon).select("region", "step", "model", "forecast")
     if more is not None:
-        made = made.unionByName(more.select("region", "step", "model", "forecast"))
+        own = more.select("region", "step", "model", "forecast")
+        made = made.join(own.select("region", "model").distinct(), ["region", "model"], "left_anti").unionByName(own)
     return made.join(n.select("region", "last"), "region").select("region", F.expr("date_add(last, 7 * step)").alias("date"), "step", "model", "forecast")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.schema import KEYWORDS, STOPS, monday, region_dim
+from weftline.session import written
 
 from . import panel as pn
 
@@ -26,9 +27,16 @@ def serial(x: Column) -> Column:
     return F.when((x > 0) & (x < 2958466), F.date_add(F.lit("1899-12-30").cast("date"), F.floor(x).cast("int")))
 
 
+#: Spellings of a date whose signs / and - have become dots; the first that reads a text decides.
+SPELLINGS = ("y.M.d", "y.M.d H:m:s", "y.M.d H:m", "y.M.d'T'H:m:s", "MMM d, y", "MMMM d, y", "d MMM y", "d MMMM y")
+
+
 def _text_date(raw: Column) -> Column:
-    text = F.regexp_replace(F.regexp_replace(raw, "[/-]", "."), r"\s+", "")
-    return F.coalesce(F.to_date(F.try_to_timestamp(text, F.lit("y.M.d"))), F.when(text.rlike(r"^\d{8}$"), F.to_date(F.try_to_timestamp(text, F.lit("yyyyMMdd")))), F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T"), F.to_date(F.try_to_timestamp(text))))
+    dotted = F.regexp_replace(F.trim(raw), "[/-]", ".")
+    tight = F.regexp_replace(dotted, r"\s+", "")
+    read = lambda text, spelling: F.to_date(F.try_to_timestamp(text, F.lit(spelling)))
+    month = F.when(tight.rlike(r"^\d{4}\.\d{1,2}$"), read(F.concat(tight, F.lit(".1")), "y.M.d"))
+    return F.coalesce(read(tight, "y.M.d"), *[read(dotted, x) for x in SPELLINGS[1:]], F.when(tight.rlike(r"^\d{8}$"), read(tight, "yyyyMMdd")), month)
 
 
 def library_date(raw: Column, kind: Column) -> Column:
@@ -86,8 +94,9 @@ def unique_headers(names: DataFrame) -> DataFrame:
 
 def library_rows(cells: DataFrame) -> DataFrame:
     """SHEET, region, date, raw, value of the best sheet of each workbook: every column but the dates', every row with a date."""
-    best = cells.join(best_sheet(sheet_scores(cells)), SHEET, "left_semi")
-    c = compact(best).join(header_rows(compact(best)), SHEET)
+    # the cells of the best sheets are used often below, and written once
+    best = written(compact(cells.join(best_sheet(sheet_scores(cells)), SHEET, "left_semi")))
+    c = best.join(header_rows(best), SHEET)
     columns = c.select(*SHEET, "col_idx").distinct()
     names = columns.join(c.where("row_idx = header_row").select(*SHEET, "col_idx", "raw"), [*SHEET, "col_idx"], "left")
     named = unique_headers(names)
@@ -99,39 +108,100 @@ def library_rows(cells: DataFrame) -> DataFrame:
     return out.select(*SHEET, "region", "date", "row_idx", "raw", F.replace(F.trim("raw"), F.lit(","), F.lit("")).try_cast("double").alias("value"))
 
 
-def library_panel(rows: DataFrame) -> DataFrame:
-    """date, region, value, is_imputed, source_file, sheet_name: regions with conflicting values of a week are left out, short gaps filled."""
-    book = rows.select("region", "source_name", "sheet_name").distinct()
-    one = pn.dedup_checked(rows)
-    bad = one.where("n_values > 1").select("region").distinct()
-    panel = one.join(bad, "region", "left_anti").select("region", "date", "value")
-    return pn.fill_library(pn.weekly_grid(panel)).join(book, "region").select("date", "region", "value", "is_imputed", F.col("source_name").alias("source_file"), "sheet_name")
+def _by_sheet(rows: DataFrame) -> DataFrame:
+    """rows with region as a struct of the sheet it is in and its name: the operators of panels know regions alone, and those of different workbooks are different."""
+    return rows.withColumn("region", F.struct(*SHEET, "region"))
 
 
-def quality_report(rows: DataFrame, least_weeks: int = 104) -> DataFrame:
-    """One row: stats and the lists of what blocks and what warns, in order and without repeats, as a struct for to_json."""
-    one = pn.dedup_checked(rows)
+def _checked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(values by region and week with the number of different ones, those of regions without conflict), by sheet."""
+    one = pn.dedup_checked(_by_sheet(rows))
     bad = one.where("n_values > 1").select("region").distinct()
-    panel = one.join(bad, "region", "left_anti").select("region", "date", "value")
-    q = pn.quality(rows, pn.weekly_grid(panel), least_weeks)
-    by = q.agg(F.flatten(F.array_sort(F.collect_list("blocking"))).alias("b"), F.flatten(F.array_sort(F.collect_list("warnings"))).alias("w"), F.sum("weeks").alias("rows"), F.count(F.lit(1)).alias("regions"), F.sum("imputed").alias("imputed_points"), F.max("longest_gap").alias("max_missing_run"))
-    n = rows.agg(F.count("raw").alias("cells"), F.count_if(F.col("value").isNull()).alias("failed"))
-    weeks = panel.agg(F.count_distinct("date").alias("unique_weeks"))
-    conflicts = one.agg(F.count_if(F.col("n_values") > 1).alias("duplicate_conflicts"), F.array_sort(F.collect_set(F.when(F.col("n_values") > 1, F.format_string("Region '%s' contains conflicting duplicate weekly values.", "region")))).alias("cb"))
-    ratio = F.coalesce(F.try_divide("failed", "cells"), F.lit(0.0))
-    # four tables of one row each
-    row = by.join(n, F.lit(True)).join(weeks, F.lit(True)).join(conflicts, F.lit(True)).withColumn("ratio", ratio)
+    return one, one.join(bad, "region", "left_anti").select("region", "date", "value")
+
+
+def library_panel(rows: DataFrame) -> DataFrame:
+    """date, region, value, is_imputed, source_file, sheet_name: regions with conflicting values of a week are left out, short gaps filled. Each workbook by itself."""
+    _, panel = _checked(rows)
+    filled = pn.fill_library(pn.weekly_grid(panel))
+    return filled.select("date", F.col("region.region").alias("region"), "value", "is_imputed", F.col("region.source_name").alias("source_file"), F.col("region.sheet_name").alias("sheet_name"))
+
+
+#: Messages of the report.
+NO_SHEET = "No worksheet matched the weekly price-index heuristics."
+EMPTY, NO_ROWS = "The detected worksheet is empty.", "The detected worksheet has no rows below the header."
+NO_DATES, NO_REGIONS = "No valid date column could be parsed from the worksheet.", "No usable region columns were detected."
+NO_SERIES = "No valid region series could be normalized from the worksheet."
+TOO_MANY, SOME = "Numeric conversion failure ratio exceeded 20% for the uploaded worksheet.", "Some worksheet cells could not be converted into numeric values."
+
+
+def layouts(cells: DataFrame) -> DataFrame:
+    """Per workbook: BOOK, sheet_name, header_row, date_column, columns, sheet_scores (best first), n_body (rows below the header), n_dates (those with a date), n_regions (columns that may hold a region)."""
+    scores = written(sheet_scores(cells))
+    c = written(compact(cells.join(best_sheet(scores), SHEET, "left_semi")))
+    head = header_rows(c)
+    all_columns = c.select(*SHEET, "col_idx").distinct()
+    named = unique_headers(all_columns.join(c.join(head, SHEET).where("row_idx = header_row").select(*SHEET, "col_idx", "raw"), [*SHEET, "col_idx"], "left"))
+    columns = F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "header"))), lambda x: x["header"])
+    date_col = F.coalesce(F.min(F.when(F.col("header") == "구분", F.col("col_idx"))), F.min("col_idx"))
+    regions = (F.count_if(~F.col("header").startswith("Unnamed")) - 1).alias("n_regions")
+    shape = named.groupBy(*SHEET).agg(columns.alias("columns"), date_col.alias("date_col"), regions)
+    body = c.join(head, SHEET).join(shape.select(*SHEET, "date_col"), SHEET).where("row_idx > header_row")
+    dated = F.when((F.col("col_idx") == F.col("date_col")) & library_date(F.col("raw"), F.col("kind")).isNotNull(), F.col("row_idx"))
+    counts = body.groupBy(*SHEET).agg(F.count_distinct("row_idx").alias("n_body"), F.count_distinct(dated).alias("n_dates"))
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "sheet_ord", F.struct("sheet_name", "sheet_state", "score", "keyword_score", "date_ratio", "numeric_density").alias("s"))))
+    ranked = scores.groupBy(*BOOK).agg(F.transform(listed, lambda x: x["s"]).alias("sheet_scores"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return shape.join(head, SHEET).join(counts, SHEET, "left").join(ranked, BOOK).select(*SHEET, "header_row", F.expr("columns[date_col]").alias("date_column"), "columns", "sheet_scores", zero("n_body"), zero("n_dates"), "n_regions")
+
+
+def quality_report(rows: DataFrame, least_weeks: int = 104, layout: DataFrame | None = None, books: DataFrame | None = None) -> DataFrame:
+    """Per workbook: BOOK, blocking_errors and warnings (in order, without repeats), stats, and detected_layout where layout is given.
+
+    layout is that of layouts(); books (BOOK) lists all workbooks, so that those without any cell are reported too. A workbook
+    whose sheet has no value at all is reported only with one of them.
+    """
+    rows = written(rows)
+    keyed = _by_sheet(rows)
+    one, panel = _checked(rows)
+    grid = written(pn.weekly_grid(panel))
+    layout = None if layout is None else written(layout)
+    book = [F.col(f"region.{c}").alias(c) for c in BOOK]
+    q = pn.quality(keyed, grid, least_weeks, F.col("region.region"))
+    by = q.groupBy(*book).agg(F.flatten(F.array_sort(F.collect_list("blocking"))).alias("b"), F.flatten(F.array_sort(F.collect_list("warnings"))).alias("w"), F.sum("weeks").alias("rows"), F.count(F.lit(1)).alias("regions"), F.sum("imputed").alias("imputed_points"), F.max("longest_gap").alias("max_missing_run"))
+    n = rows.groupBy(*BOOK).agg(F.count("raw").alias("cells"), F.count_if(F.col("value").isNull()).alias("failed"))
+    # weeks are counted as the dense grid has them, whether or not any region has a value there
+    weeks = grid.groupBy(*book).agg(F.count_distinct("date").alias("unique_weeks"))
+    conflict = F.when(F.col("n_values") > 1, F.format_string("Region '%s' contains conflicting duplicate weekly values.", F.col("region.region")))
+    conflicts = one.groupBy(*book).agg(F.count_if(F.col("n_values") > 1).alias("duplicate_conflicts"), F.array_sort(F.collect_set(conflict)).alias("cb"))
+    row = n.join(by, BOOK, "full").join(weeks, BOOK, "full").join(conflicts, BOOK, "full")
+    if layout is not None:
+        row = row.join(layout, BOOK, "full")
+    if books is not None:
+        row = row.join(books.select(*BOOK).distinct(), BOOK, "full")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("cells", "failed", "rows", "regions", "imputed_points", "max_missing_run", "unique_weeks", "duplicate_conflicts")}
+    row = row.withColumns(zero).withColumn("ratio", F.coalesce(F.try_divide("failed", "cells"), F.lit(0.0)))
     say = lambda c, *x: F.when(c, F.format_string(*x) if len(x) > 1 else F.lit(x[0]))
-    blocking = F.array_compact(F.array(say(F.col("cells") == 0, "No valid region series could be normalized from the worksheet."), say(F.col("ratio") > 0.2, "Numeric conversion failure ratio exceeded 20% for the uploaded worksheet."), say((F.col("unique_weeks") > 0) & (F.col("unique_weeks") < least_weeks), "The workbook contains only %d unique weekly observations; %d are required.", "unique_weeks", F.lit(least_weeks))))
-    warning = F.array_compact(F.array(say((F.col("ratio") > 0) & (F.col("ratio") <= 0.2), "Some worksheet cells could not be converted into numeric values.")))
-    stats = F.struct(F.bround("ratio", 4).alias("numeric_failure_ratio"), "duplicate_conflicts", "rows", "regions", "unique_weeks", "imputed_points", "max_missing_run")
+    first = []
+    if layout is not None:
+        there = F.col("header_row").isNotNull()
+        first = [say(~there, NO_SHEET if books is None else EMPTY), say(there & (F.col("n_body") == 0), NO_ROWS), say(there & (F.col("n_body") > 0) & (F.col("n_dates") == 0), NO_DATES), say(there & (F.col("n_body") > 0) & (F.col("n_regions") <= 0), NO_REGIONS)]
+    last = [say(F.col("ratio") > 0.2, TOO_MANY), say(F.col("rows") == 0, NO_SERIES), say((F.col("unique_weeks") > 0) & (F.col("unique_weeks") < least_weeks), "The workbook contains only %d unique weekly observations; %d are required.", "unique_weeks", F.lit(least_weeks))]
     none = F.array().cast("array<string>")
-    return row.select(F.array_distinct(F.concat("cb", F.coalesce("b", none), blocking)).alias("blocking_errors"), F.array_distinct(F.concat(F.coalesce("w", none), warning)).alias("warnings"), stats.alias("stats"))
+    some = lambda c: F.coalesce(c, none)
+    blocking = F.array_distinct(F.concat(F.array_compact(F.array(*first)) if first else none, some("cb"), some("b"), F.array_compact(F.array(*last))))
+    warning = F.array_distinct(F.concat(some("w"), F.array_compact(F.array(say((F.col("ratio") > 0) & (F.col("ratio") <= 0.2), SOME)))))
+    stats = F.struct(F.bround("ratio", 4).alias("numeric_failure_ratio"), "duplicate_conflicts", "rows", "regions", "unique_weeks", "imputed_points", "max_missing_run")
+    out = [*BOOK, blocking.alias("blocking_errors"), warning.alias("warnings"), stats.alias("stats")]
+    if layout is not None:
+        out.append(F.struct("sheet_name", "header_row", "date_column", "columns", "sheet_scores", "fingerprint").alias("detected_layout"))
+    return row.select(*out)
 
 
 def report_json(report: DataFrame) -> DataFrame:
     """json: the report as indented text, letters beyond ASCII as they are."""
-    return report.select(F.to_json(F.struct("blocking_errors", "warnings", "stats"), {"pretty": "true"}).alias("json"))
+    parts = [c for c in ("blocking_errors", "warnings", "stats", "detected_layout") if c in report.columns]
+    return report.select(F.to_json(F.struct(*parts), {"pretty": "true"}).alias("json"))
 
 
 def metric_of(sheet_name: Column, preview: Column) -> Column:
@@ -159,16 +229,17 @@ def dashboard_rows(cells: DataFrame) -> DataFrame:
     own = names.join(edges, SHEET).where("col_idx > date_col and col_idx < stop").join(F.broadcast(region_dim(cells.sparkSession)), "region").select(*SHEET, "col_idx", "region", "region_group")
     body = c.where("row_idx > header_row").join(edges, SHEET)
     dates = body.where("col_idx = date_col").select(*SHEET, "row_idx", monday(dashboard_date(F.col("raw"))).alias("date")).where("date is not null")
-    return body.join(own, [*SHEET, "col_idx"]).join(dates, [*SHEET, "row_idx"]).select("metric", "sheet_name", "region", "region_group", "date", "row_idx", "raw", number(F.col("raw")).alias("value"))
+    return body.join(own, [*SHEET, "col_idx"]).join(dates, [*SHEET, "row_idx"]).select(*BOOK, "metric", "sheet_name", "region", "region_group", "date", "row_idx", "raw", number(F.col("raw")).alias("value"))
 
 
 def dashboard_panel(rows: DataFrame) -> DataFrame:
-    """date, value, region, region_group, metric, sheet_name, is_imputed: the last value of a week, gaps filled two weeks from either side."""
-    # the operators of panels know regions; a metric's region is one
-    one = rows.withColumn("key", F.struct("metric", "region"))
-    panel = pn.dedup_last(one.select(F.col("key").alias("region"), "date", "value", "row_idx"), "row_idx")
-    filled = pn.fill_dashboard(pn.weekly_grid(panel)).select(F.col("region.metric").alias("metric"), F.col("region.region").alias("region"), "date", "value", "is_imputed")
-    return filled.join(rows.select("metric", "region", "region_group", "sheet_name").distinct(), ["metric", "region"]).select("date", "value", "region", "region_group", "metric", "sheet_name", "is_imputed")
+    """BOOK, date, value, region, region_group, metric, sheet_name, is_imputed: the last value of a week, gaps filled two weeks from either side. Each workbook by itself."""
+    # the operators of panels know regions; what belongs to one goes with it
+    key = [*BOOK, "metric", "region", "region_group", "sheet_name"]
+    one = rows.select(F.struct(*key).alias("region"), "date", "value", "row_idx")
+    filled = pn.fill_dashboard(pn.weekly_grid(pn.dedup_last(one, "row_idx")))
+    own = lambda *names: [F.col(f"region.{c}").alias(c) for c in names]
+    return filled.select(*own(*BOOK), "date", "value", *own("region", "region_group", "metric", "sheet_name"), "is_imputed")
 
 
 def series_of(panel: DataFrame, metric: str) -> DataFrame:

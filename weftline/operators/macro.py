@@ -21,8 +21,11 @@ def released(macro: DataFrame) -> DataFrame:
 
 
 def asof(base: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
-    """base (by, date) with value of the latest row of right at or before its date: a union and a running last value, so one sort and no range join."""
-    one = right.groupBy(*by, "date").agg(F.last("value").alias("value"))
+    """base (by, date) with value of the latest row of right at or before its date: a union and a running last value, so one sort and no range join.
+
+    Of several rows of one date the last counts: by the column seq where right has one, else the largest value.
+    """
+    one = right.groupBy(*by, "date").agg(F.max_by("value", F.struct("seq", "value")) if "seq" in right.columns else F.max("value")).toDF(*by, "date", "value")
     both = base.select(*by, "date", F.lit(None).cast("double").alias("value"), F.lit(1).alias("side")).unionByName(one.select(*by, "date", "value", F.lit(0).alias("side")))
     w = Window.partitionBy(*by).orderBy("date", "side").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("value", F.last("value", True).over(w)).where("side = 1").drop("side")
@@ -34,7 +37,7 @@ def macro_asof(base: DataFrame, macro: DataFrame) -> DataFrame:
     dates = base.select("date").distinct()
     # one row for each indicator: its number is that of columns, not of rows
     kinds = out.select("indicator", "freq").distinct()
-    grid = dates.join(F.broadcast(kinds), F.lit(True))
+    grid = dates.crossJoin(kinds)
     return asof(grid, out, ["indicator", "freq"])
 
 

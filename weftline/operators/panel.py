@@ -6,7 +6,7 @@ partitioning, so a plan has one shuffle and one sort however many columns it add
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from weftline.schema import monday
@@ -85,8 +85,9 @@ def series(grid: DataFrame) -> DataFrame:
     return interpolated(grid, 4).where("filled is not null").select("region", "date", F.col("filled").alias("value"))
 
 
-def quality(rows: DataFrame, grid: DataFrame, least_weeks: int = 104) -> DataFrame:
-    """Per region: weeks, missing, longest_gap, imputed, enough, and messages of what blocks or warns."""
+def quality(rows: DataFrame, grid: DataFrame, least_weeks: int = 104, name: Column | None = None) -> DataFrame:
+    """Per region: weeks, missing, longest_gap, conflicts, imputed, observed, and messages of what blocks or warns, which call it by name."""
+    name = F.col("region") if name is None else name
     runs = with_runs(grid)
     filled = interpolated(grid, 2)
     a = runs.groupBy("region").agg(F.count(F.lit(1)).alias("weeks"), F.count_if(F.col("value").isNull()).alias("missing"), F.max("run").cast("bigint").alias("longest_gap"))
@@ -96,7 +97,7 @@ def quality(rows: DataFrame, grid: DataFrame, least_weeks: int = 104) -> DataFra
     imputed = F.when(F.col("longest_gap") < 3, F.col("fillable")).otherwise(F.lit(0))
     observed = F.col("weeks") - F.col("missing") + imputed
     out = out.withColumn("imputed", imputed).withColumn("observed", observed)
-    say = lambda c, text, *x: F.when(c, F.format_string(text, F.col("region"), *x))
+    say = lambda c, text, *x: F.when(c, F.format_string(text, name, *x))
     blocking = F.array_compact(F.array(say(F.col("conflicts") > 0, "Region '%s' contains conflicting duplicate weekly values."), say(F.col("longest_gap") >= 3, "Region '%s' contains a missing weekly run of 3 weeks or longer after reindexing."), say(F.col("observed") < least_weeks, "Region '%s' has only %d weekly observations; %d are required.", F.col("observed"), F.lit(least_weeks))))
     warning = F.array_compact(F.array(say(F.col("longest_gap").between(1, 2), "Region '%s' contains short gaps that were linearly interpolated.")))
     return out.select("region", "weeks", "missing", "longest_gap", "conflicts", "imputed", "observed", blocking.alias("blocking"), warning.alias("warnings"))

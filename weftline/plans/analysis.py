@@ -121,16 +121,14 @@ def library_report(series: DataFrame, horizon: int, horizons: tuple[int, ...] =
 
 def panel_of(spark: SparkSession, path: str, store: str) -> DataFrame:
     """The dashboard panel of the workbooks below path, kept in store by fingerprint and metric: a workbook that is there is not taken apart again."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select(F.sha2("content", 256).alias("fingerprint"))
-    wanted = {r.fingerprint for r in files.distinct().collect()}  # a row for each workbook
     try:
-        have = {r.fingerprint for r in spark.read.parquet(store).select("fingerprint").distinct().collect()}
+        have = spark.read.parquet(store).select("fingerprint").distinct()
     except AnalysisException:
-        have = set()
-    if wanted - have:
-        cells = workbook.cells(spark, path).where(F.col("fingerprint").isin(sorted(wanted - have))).persist()
-        for print_ in sorted(wanted - have):
-            panel = ingest.dashboard_panel(ingest.dashboard_rows(cells.where(F.col("fingerprint") == print_)))
-            panel.withColumn("fingerprint", F.lit(print_)).write.mode("append").partitionBy("fingerprint", "metric").parquet(store)
-        cells.unpersist()
-    return spark.read.parquet(store).where(F.col("fingerprint").isin(sorted(wanted)))
+        have = spark.createDataFrame([], "fingerprint string")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select(F.sha2("content", 256).alias("fingerprint")).distinct()
+    if not files.join(have, "fingerprint", "left_anti").isEmpty():
+        # one pass and one write for all workbooks that are not there yet
+        cells = workbook.cells(spark, path).join(have, "fingerprint", "left_anti")
+        panel = ingest.dashboard_panel(ingest.dashboard_rows(cells)).drop("source_name")
+        panel.write.mode("append").partitionBy("fingerprint", "metric").parquet(store)
+    return spark.read.parquet(store).join(files, "fingerprint", "left_semi")

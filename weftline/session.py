@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC keeps week flooring stable, adaptive execution splits skewed joins and merges small partitions.
 DEFAULTS = {
@@ -36,3 +37,16 @@ def ship(spark: SparkSession) -> None:
             out.write(path, f"{root.name}/{path.relative_to(root)}")
     context.addPyFile(str(target))
     context._weftline_sent = True
+
+
+def written(df: DataFrame, tag: str = "weekly") -> DataFrame:
+    """df as a table in the folder that spark.checkpoint.dir names: plans that use it often start there, and a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="weftline-")
+    path = f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
