@@ -60,3 +60,15 @@ def test_a_second_attempt_in_another_order_harms_nothing(spark):
     archive.write_index(captures, path)
     got = archive.read_by_index(spark, path).collect()
     assert sorted((r.page_id, r.payload_bytes) for r in got) == [(k, 50 * k) for k in range(60)]
+
+
+def test_captures_are_found_by_lookups_of_their_urls(spark, monkeypatch):
+    monkeypatch.setattr(archive, "BLOCK_LINES", 4)
+    urls = ["http://a.org/x", "https://a.org/x", "http://b.org/", None, "u"]
+    rows = [(k, urls[k % 5] if k < 50 else f"http://c.org/{k}", "t" * k) for k in range(90)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    path = shared.work_dir(spark, "warc")
+    archive.write_index(archive.write_archives(pages, path), path)
+    asked = [urls[1], urls[3], "http://c.org/77", "http://c.org/none", urls[1]]
+    got = archive.read_by_index(spark, path, spark.createDataFrame([(u,) for u in asked], "url string")).collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in got) == [(k, k) for k, u, _ in rows if u in asked]

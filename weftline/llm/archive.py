@@ -10,6 +10,7 @@ from __future__ import annotations
 import bisect
 import gzip
 import hashlib
+import itertools
 import json
 import uuid
 import zlib
@@ -214,15 +215,9 @@ class Index:
     def lookup(self, url: str | None) -> list[dict]:
         """The captures of a URL in order of page_id."""
         key, found = url_key(url), []
-        at = max(0, bisect.bisect_left(self._firsts, key) - 1)
-        while at < len(self._blocks) and self._firsts[at] <= key:
+        for at in _blocks_of(self._firsts, key):
             _, name, start, size, _ = self._blocks[at]
-            lines = _block(self._path, name, start, size)
-            keys = [x[0] for x in lines]
-            for x in lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]:
-                if x[1] == url:
-                    found.append(dict(zip(_NAMES, x, strict=True)))
-            at += 1
+            found += [dict(zip(_NAMES, x, strict=True)) for x in _found(_block(self._path, name, start, size), {key: {url}})]
         return found
 
     def read(self, capture: dict) -> tuple[dict[str, str], bytes]:
@@ -258,31 +253,62 @@ def _records(path: str, captures: list[tuple]) -> Iterator[bytes]:
                 at = k
 
 
-def read_by_index(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every capture that the index at path holds.
+def _blocks_of(firsts: list[str], key: str) -> Iterator[int]:
+    """Numbers of the blocks that may hold a key, found by bisection of the directory's first keys."""
+    at = max(0, bisect.bisect_left(firsts, key) - 1)
+    while at < len(firsts) and firsts[at] <= key:
+        yield at
+        at += 1
 
-    Tasks take runs of the directory; each block is read by its range, and the records of its captures by theirs, so memory is
-    bounded by a block's lines and a record. A damaged record raises. An empty directory gives no rows.
+
+def _found(lines: list[tuple], wanted: dict[str, set[str | None]]) -> Iterator[tuple]:
+    """The lines of a block that have one of the wanted URLs (by key), found by bisection of its keys."""
+    keys = [x[0] for x in lines]
+    for key, urls in wanted.items():
+        for x in lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]:
+            if x[1] in urls:
+                yield x
+
+
+def read_by_index(spark: SparkSession, path: str, urls: DataFrame | None = None) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of the captures of urls (column url; without it, of all captures at path).
+
+    Each distinct URL is looked up: its key in the directory by bisection, then, dealt by block, in the block by bisection, and
+    the records that it leads to are read by their ranges. A block is read once for all its URLs, and a URL of many captures is
+    spread over its blocks, so memory is bounded by the directory, a block's lines and a record. URLs that the index does not
+    have give no rows; a damaged record raises.
     """
     shared.prepare(spark)
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    directory = Index(spark, path)
+    blocks, firsts = directory._blocks, directory._firsts
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(at, key, url) for url in batch.column(0).to_pylist() for key in [url_key(url)] for at in _blocks_of(firsts, key)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["block", "url_key", "url"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, start, size in shared.rows_of(batches):
-            places = [x[5:8] for x in _block(path, name, start, size)]
-            rows = [capture_of(*parse(r)) for r in _records(path, places)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        for at, rows in itertools.groupby(shared.rows_of(batches), lambda x: x[0]):
+            wanted: dict[str, set[str | None]] = {}
+            for _, key, url in rows:
+                wanted.setdefault(key, set()).add(url)
+            places = [x[5:8] for x in _found(_block(path, *blocks[at][1:4]), wanted)]
+            made = [capture_of(*parse(r)) for r in _records(path, places)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in made], t) for k, t in enumerate(kinds)], names=names)
 
-    directory = spark.read.parquet(f"{path}/directory").select("file", "start", "size")
-    return directory.repartition(shared.partitions(spark), "file", "start").mapInArrow(read, _CAPTURE)
+    if urls is None:
+        urls = spark.read.parquet(f"{path}/captures")
+    asked = urls.select(F.col("url").cast("string").alias("url")).distinct().mapInArrow(search, "block bigint, url_key string, url string")
+    return asked.repartition(shared.partitions(spark), "block").sortWithinPartitions("block").mapInArrow(read, _CAPTURE)
 
 
 def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per page: page_id, payload_bytes, payload_digest, record_type, refers_to, read back through directory, blocks and ranges of the index."""
-    path = shared.work_dir(spark, "warc")
-    write_index(write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path), path)
-    return read_by_index(spark, path)
+    """Per page: page_id, payload_bytes, payload_digest, record_type, refers_to, read back by a lookup of each page's URL in the index."""
+    path, pages = shared.work_dir(spark, "warc"), spark.read.parquet(f"{sf_dir}/pages.parquet")
+    write_index(write_archives(pages, path), path)
+    return read_by_index(spark, path, pages)
 
 
 OP7_SQL = """
