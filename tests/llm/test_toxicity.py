@@ -136,3 +136,11 @@ def test_training_rows_are_the_same_every_time_and_copies_count_once(spark):
     assert got[0] == got[1] and len(got[0]) < 290
     # texts that share but one key are unlike, and all stay
     assert len(got[0]) > 200
+
+
+def test_code_rows_are_those_of_each_word():
+    words = [b"", b"^abc", b"^a\x00b", "^é".encode(), b"^abcdefghij"]
+    got = tx._codes(words)
+    assert got.shape == (5, 11) and tx._codes([]).shape == (0, 1)
+    for row, w in zip(got.tolist(), words, strict=True):
+        assert row == [int(tx._CODE[b]) for b in w] + [0] * (11 - len(w))

@@ -84,10 +84,8 @@ def units(word: bytes) -> list[bytes]:
 
 def _codes(words: list[bytes]) -> np.ndarray:
     """Rows of letter codes, filled up with 0."""
-    out = np.zeros((len(words), max((len(w) for w in words), default=1) or 1), np.uint8)
-    for k, w in enumerate(words):
-        out[k, : len(w)] = _CODE[np.frombuffer(w, np.uint8)]
-    return out
+    width = max(map(len, words), default=1) or 1
+    return _CODE[np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8)].reshape(len(words), width)
 
 
 def kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
